@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op8_best_fit
+from .sharding import op9_minimax_shards
 from .token_store import op5_token_store
+from .url_filter import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_store, op8_best_fit)
+    f.__name__: f for f in (op2_url_filter, op5_token_store, op8_best_fit, op9_minimax_shards)
 }
 ORACLE_SQL: dict[str, str] = {}
