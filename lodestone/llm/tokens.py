@@ -7,6 +7,7 @@ Results equal ``Tokenizer.encode(text, add_special_tokens=False)``, special toke
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -15,13 +16,16 @@ from .common import Memo
 
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the word vocabulary's own pattern
 
-_ODD = re.compile(r"\s | \s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _PLAIN = re.compile(r"[\n -~¡-ÿ]*").fullmatch
 _ENDS = frozenset(".,;:!?")
 _made: dict[tuple[str, str], object] = {}
 
 
+class _Odd(Exception):
+    """White space beside white space: the quick cut isn't where the tokenizer cuts."""
+
+
 def _visible_bytes() -> dict[int, int]:
     """Byte-level vocabularies write each byte as a visible character: printable ones as themselves, the rest from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -36,36 +40,60 @@ class Encoder:
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.model, self.table, self.kind = self.whole.model, _visible_bytes(), kind
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # the same merges without the library's own cache, which the memos stand in for
+        suffix = {"end_of_word_suffix": model["end_of_word_suffix"]} if model.get("end_of_word_suffix") else {}
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **suffix)
+        self.table, self.kind = _visible_bytes(), kind
         self.words = regex.compile(PATTERN if kind == "byte" else WORD_PATTERN).findall
-        self.memo = Memo(self._spaced if kind == "byte" else self._piece, 400_000)
-        self.word = Memo(self._word, 150_000)
+        self.memo = Memo(self._after_space if kind == "byte" else self._piece, 400_000)
+        self.word = Memo(self._word, 200_000)
 
     def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))]).tobytes()
-
-    def _piece(self, piece: str, space: str = "") -> bytes:
+        if word.isascii() and word.isalnum():
+            shown = word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str, before: str = "") -> bytes:
+        """Ids of ``before`` (a space or nothing) and a piece."""
         if "<|" in piece or not _PLAIN(piece):
-            return array("I", self.whole.encode(space + piece, add_special_tokens=False).ids).tobytes()
+            return array("I", self.whole.encode(before + piece, add_special_tokens=False).ids).tobytes()
         if self.kind == "word":
             piece = piece.lower()
         if piece.isalpha():
-            return self.word[space + piece]
+            return self.word[before + piece]
         if piece[-1:] in _ENDS and piece[:-1].isalpha():
-            return self.word[space + piece[:-1]] + self.word[piece[-1]]
-        return b"".join(map(self.word.__getitem__, self.words(space + piece)))
-
-    def _spaced(self, piece: str) -> bytes:
+            return self.word[before + piece[:-1]] + self.word[piece[-1]]
+        return b"".join(map(self.word.__getitem__, self.words(before + piece)))
+
+    def _after_space(self, piece: str) -> bytes:
+        if not piece or piece[-1].isspace():
+            raise _Odd
+        if piece[0] == "\n":  # the text has no space here
+            if piece[1].isspace():
+                raise _Odd
+            return self.word["\n"] + self._piece(piece[1:])
+        if piece[0].isspace():
+            raise _Odd
         return self._piece(piece, " ")
 
     def encode(self, text: str) -> bytes:
-        if self.kind == "word":
-            return b"".join(map(self.memo.__getitem__, text.split(" ")))
-        first, *rest = _CUT(text) if _ODD(text) else text.split(" ")
-        return self._piece(first) + b"".join(map(self.memo.__getitem__, rest))
+        if self.kind == "word":  # white space only separates
+            return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+        try:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return self._piece(first) + b"".join(map(self.memo.__getitem__, rest))
+        except _Odd:
+            first, *rest = _CUT(text)
+            return self._piece(first) + b"".join([self._piece(p, " ") for p in rest])
 
 
 def encoder(path: str, kind: str) -> Encoder:
