@@ -75,7 +75,7 @@ def id_bounds(df: DataFrame, key: Column, buckets: int, per_bucket: int = 60) ->
     share = min(1.0, per_bucket * buckets / n)
     got = sorted({r.k for r in (ids if share == 1.0 else ids.sample(share, seed=7)).collect()})
     cuts = sorted({got[i * len(got) // buckets] for i in range(1, buckets)} if got else ())
-    return cuts[1:] if cuts and cuts[0] == got[0] and share == 1.0 else cuts
+    return cuts[1:] if cuts and cuts[0] == got[0] else cuts
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
