@@ -143,10 +143,15 @@ def _with_scores(logits: np.ndarray, bias: float, floor: float):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            plain = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").fill_null("")], names=["doc_id", "text"])
-            got = next(scorer([plain])).column("score").to_numpy()
-            yield batch.filter(pa.array(got >= floor))
+        held = []
+
+        def plain():
+            for batch in batches:
+                held.append(batch)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").fill_null("")], names=["doc_id", "text"])
+
+        for scored in scorer(plain()):
+            yield held.pop().filter(pa.array(scored.column("score").to_numpy() >= floor))
 
     return run
 

@@ -14,6 +14,7 @@ from .sharding import op9_minimax_shards
 from .simhash import op3_simhash
 from .token_store import op5_token_store
 from .url_filter import op2_url_filter
+from .warc import op4_warc
 from .weak_rules import op6_weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_fingerprints,
         op2_url_filter,
         op3_simhash,
+        op4_warc,
         op5_token_store,
         op6_weak_rules,
         op7_bpe_sql,
