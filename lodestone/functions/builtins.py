@@ -148,7 +148,7 @@ def _pattern(cell: Cell, flags: Cell | None) -> Column:
     if flags is not None:
         keep = F.regexp_replace(flags.v, "[^ims]", "")
         prefix = F.when(F.length(keep) > 0, F.concat(F.lit("(?"), keep, F.lit(")"))).when(keep.isNotNull(), "")
-    named = F.regexp_replace(F.regexp_replace(cell.v, r"\(\?P<(\w+)>", "(?<$1>"), r"\(\?P=(\w+)\)", r"\\\\k<$1>")
+    named = F.regexp_replace(F.regexp_replace(cell.v, r"\(\?P<(\w+)>", "(?<$1>"), r"\(\?P=(\w+)\)", r"\\k<$1>")
     return F.concat(prefix, named)
 
 
@@ -158,7 +158,7 @@ def _regex(a, c):
 
 def _replace(a, c):
     # \1 is written $1, and a dollar sign stands for itself
-    to = F.regexp_replace(F.regexp_replace(a[2].v, r"\$", r"\\\\\$"), r"\\(\d)", r"\$$1")
+    to = F.regexp_replace(F.regexp_replace(a[2].v, r"\$", r"\\\$"), r"\\(\d)", r"\$$1")
     return plain(F.regexp_replace(a[0].v, _pattern(a[1], a[3] if len(a) > 3 else None), to))
 
 
@@ -193,7 +193,7 @@ def _moment(cell: Cell, group: int) -> Column:
 def _date_part(group: int, native):
     def run(a, c):
         t = a[0].type
-        if t is not None and t.native == "timestamp":
+        if t is not None and t.native.startswith("timestamp"):
             return Cell(HUGE, native(a[0].col).cast("decimal(38,0)"))
         return Cell(HUGE, F.nullif(_moment(a[0], group), F.lit("")).try_cast("decimal(38,0)"))
 
@@ -202,7 +202,7 @@ def _date_part(group: int, native):
 
 def _seconds(a, c):
     t = a[0].type
-    if t is not None and t.native == "timestamp":
+    if t is not None and t.native.startswith("timestamp"):
         return Cell(Type(LITERAL, XSD + "decimal", native="double"), F.second(a[0].col).cast("double"))
     return Cell(Type(LITERAL, XSD + "decimal", native="double"), F.nullif(_moment(a[0], 6), F.lit("")).try_cast("double"))
 

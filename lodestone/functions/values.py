@@ -107,7 +107,7 @@ def compare(op: str, a: Cell, b: Cell) -> Column:
     """Order: by value if both are numbers, else by code points of the text, whatever the terms are."""
     by = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
     if _both_known(a, b):
-        if a.type == b.type and a.type.native in ("bigint", "double", "timestamp"):
+        if a.type == b.type and a.type.native in ("bigint", "double", "timestamp", "timestamp_ntz"):
             return by(a.col, b.col)
         if _exact(a, b):
             return by(whole(a), whole(b))

@@ -19,7 +19,7 @@ from .terms import BOOLEAN, DATETIME, DOUBLE, INTEGER, LITERAL, TERM, URI, Cell,
 
 _NATIVE = {
     "int": ("bigint", INTEGER), "bigint": ("bigint", INTEGER), "smallint": ("bigint", INTEGER), "tinyint": ("bigint", INTEGER),
-    "double": ("double", DOUBLE), "float": ("double", DOUBLE), "boolean": ("boolean", BOOLEAN), "timestamp": ("timestamp", DATETIME),
+    "double": ("double", DOUBLE), "float": ("double", DOUBLE), "boolean": ("boolean", BOOLEAN), "timestamp": ("timestamp", DATETIME), "timestamp_ntz": ("timestamp_ntz", DATETIME),
     "string": ("string", ""),
 }
 

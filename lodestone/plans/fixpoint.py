@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Fragment, Graph, merged, predicate_struct, union_all
 from ..model import IRI, Rule, Triple, Var
-from ..terms import Cell, as_type, unified
+from ..terms import TERM, Cell, as_type, unified
 from .compile import Compiler
 from .stratify import ANY, heads, overlap, reads
 
@@ -88,17 +88,21 @@ def run_loop(rules: list[Rule], graph: Graph, derived: Graph, compiler_for, scra
             found = base.scan(p)
             if found:
                 types[p] = (unified([f.s_type for f in found]), unified([f.o_type for f in found]))
-        for _ in range(3):
-            trial = _by_predicate([x for r in rules for x in _derive(r, compiler_for(r, typed({p: [] for p in keys})))])
+        while True:
+            # a rule says nothing of its result's types before it has any input
+            ready = [r for r in rules if all(p in types for p in recursive & reads(r.body)[0])]
+            trial = _by_predicate([x for r in ready for x in _derive(r, compiler_for(r, typed({})))])
             changed = False
             for p, fragments in trial.items():
                 want = (unified([f.s_type for f in fragments]), unified([f.o_type for f in fragments]))
                 now = types.get(p)
-                merged_types = want if now is None else tuple(a if a == b else None for a, b in zip(now, want))
-                changed |= merged_types != now
-                types[p] = merged_types
+                agreed = want if now is None else tuple(a if a == b else None for a, b in zip(now, want))
+                changed |= agreed != now
+                types[p] = agreed
             if not changed:
-                return
+                break
+        for p in keys:
+            types.setdefault(p, (None, None))
 
     def typed(found: dict) -> Graph:
         """The base with recursive predicates as one fragment each: what was there and what was found."""
@@ -113,8 +117,9 @@ def run_loop(rules: list[Rule], graph: Graph, derived: Graph, compiler_for, scra
                 if own:
                     frames.insert(0, _frame(g.spark, p, own, types[p])[0])
                 g.fragments.pop(p, None)
-                if frames:
-                    g.add_pairs(p, union_all(frames), *types[p])
+                shape = {"s": types[p][0], "o": types[p][1]}
+                nothing = g.spark.range(0).select(*[F.lit(None).cast(t.native if t else TERM).alias(c) for c, t in shape.items()])
+                g.add_pairs(p, union_all(frames or [nothing]), *types[p])
         return g
 
     if not loose:

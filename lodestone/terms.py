@@ -62,7 +62,7 @@ class Cell:
             return self.col.getField(name)
         t = self.type
         if name == "v":
-            if t.native == "timestamp":
+            if t.native.startswith("timestamp"):
                 text = F.date_format(self.col, "yyyy-MM-dd'T'HH:mm:ss")
             else:
                 text = self.col if t.native == "string" else self.col.cast("string")
