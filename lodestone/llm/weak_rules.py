@@ -1,9 +1,12 @@
 """Quality rules under weak supervision (operator 6, native).
 
-Each rule looks at a document's counts and votes reject (0), abstain (1) or keep (2). Expectation-maximisation
-over all documents estimates, without labels, how often each rule casts each vote on good and on bad
-documents (its accuracies) and the share of good ones; the verdict is the posterior probability that a
-document is good. It starts from "good unless some rule rejects", and a vote never counts against its own meaning.
+Each rule looks at a document's counts and votes reject (0), abstain (1) or keep (2). Bad documents are bad in
+different ways that have little in common, so there is one latent class of good documents and one of bad ones for
+each rule. Expectation-maximisation over all documents estimates, without labels, the classes' shares and how often
+each rule's votes are right in each class (its accuracies); an abstention says nothing. The verdict is the posterior
+probability of the good class. It starts from "good unless some rule rejects". Without labels, "these are bad" and
+"this rule errs on these" explain a lone rule's votes equally well; that is decided by taking it that no rule rejects more
+than ``MISFIRE`` of the good documents. A rule that rejects fewer documents than that is overruled by the others.
 
 Counts are SQL expressions over one row, so texts are read once and never shuffled; the narrow table of
 counts is kept. Documents with equal votes are one row with a count: at most 3 ^ rules rows, whatever the
@@ -24,11 +27,12 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"  # fixed values: the base count's symbols
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_distinct")
-STEPS, MIN_WORDS = 50, 50
+STEPS, MIN_WORDS = 30, 50
+MISFIRE = 0.005
 #: (name, reject where, keep where): integer arithmetic on the counts.
 RULES = (
     ("symbols", "20 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
+    ("repeated_lines", "10 * n_dup_lines > 6 * n_lines", "n_dup_lines = 0"),
     ("repeated_words", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
     ("shouting", "3 * n_capitals > word_chars", "10 * n_capitals <= word_chars"),
     ("exclaiming", "5 * n_bangs > n_words", "50 * n_bangs <= n_words"),
@@ -92,32 +96,47 @@ def votes(rules=RULES) -> list[Column]:
     return [F.when(F.expr(bad), 0).when(F.expr(good), 2).otherwise(1) for _, bad, good in rules]
 
 
-def fit(counted: DataFrame, rules=RULES, steps: int = STEPS) -> tuple[float, list[list[float]]]:
-    """(log odds of good, for each rule the log likelihood ratio of its three votes), from all rows of ``counted``."""
+Model = list[tuple[float, list[list[float]]]]
+
+
+def fit(counted: DataFrame, rules=RULES, steps: int = STEPS) -> Model:
+    """For each class (good first) the log share and what each rule's three votes add to its log likelihood, from all rows."""
     patterns = counted.groupBy(F.array(*votes(rules)).alias("v")).agg(F.count("*").cast("double").alias("n"))
-    one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("pats"))  # at most 3 ^ rules entries
-    total = lambda part, where="true": f"aggregate(z, 0D, (a, p) -> a + IF({where}, p.{part}, 0D))"
-    ratio = f"ln(({total('g', 'p.v[j] = o')} + 1) / ({total('g')} + 3)) - ln(({total('b', 'p.v[j] = o')} + 1) / ({total('b')} + 3))"
-    model = f"""transform(array(zip_with(pats, q, (p, x) -> named_struct('v', p.v, 'g', p.n * x, 'b', p.n * (1 - x)))), z -> named_struct(
-        'prior', ln(({total("g")} + 1) / ({total("b")} + 1)),
-        'llr', transform(sequence(0, {len(rules) - 1}), j -> transform(sequence(0, 2), o -> transform(array({ratio}),
-            r -> CASE o WHEN 0 THEN least(r, 0D) WHEN 2 THEN greatest(r, 0D) ELSE r END)[0]))))[0]"""
-    posterior = f"transform(pats, p -> 1 / (1 + exp(-(m.prior + aggregate(sequence(0, {len(rules) - 1}), 0D, (a, j) -> a + m.llr[j][p.v[j]])))))"
-    start = "transform(pats, p -> IF(exists(p.v, x -> x = 0), 0.1D, 0.95D))"
-    q = f"aggregate(sequence(1, {steps}), {start}, (q, t) -> transform(array({model}), m -> {posterior})[0])"
-    got = one.selectExpr("pats", f"{q} AS q").selectExpr(f"{model} AS m").first()
-    if got is None or got.m is None:
-        return 0.0, [[0.0] * 3 for _ in rules]
-    return float(got.m.prior), [[float(x) for x in row] for row in got.m.llr]
-
-
-def posterior(model: tuple[float, list[list[float]]], rules=RULES) -> Column:
+    one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("pats"), F.sum("n").alias("total"))  # at most 3 ^ rules entries
+    m = len(rules)
+    mass = lambda where: f"aggregate(z, 0D, (a, p) -> a + IF({where}, p.n * p.x[k], 0D))"
+    rejects = f"({mass('p.v[j] = 0')} + IF(k = j + 1, 3D, 0.5D)) / ({mass('p.v[j] <> 1')} + IF(k = j + 1, 3D, 0.5D) + 1)"
+    logs = f"transform(array(IF(k = 0, least({rejects}, {MISFIRE}D), {rejects})), r -> array(ln(r), 0D, ln(1 - r)))[0]"
+    model = f"""transform(array(zip_with(pats, q, (p, x) -> named_struct('v', p.v, 'n', p.n, 'x', x))), z -> transform(sequence(0, {m}), k ->
+        named_struct('w', ln(({mass('true')} + 1) / (total + {m + 1})), 'e', transform(sequence(0, {m - 1}), j -> {logs}))))[0]"""
+    scores = f"transform(model, c -> c.w + aggregate(sequence(0, {m - 1}), 0D, (a, j) -> a + c.e[j][p.v[j]]))"
+    raised = f"transform(array({scores}), s -> transform(s, y -> exp(y - array_max(s))))[0]"
+    belief = f"transform(pats, p -> transform(array({raised}), t -> transform(t, y -> y / aggregate(t, 0D, (a, b) -> a + b)))[0])"
+    start = f"""transform(pats, p -> transform(sequence(0, {m}), k -> IF(exists(p.v, x -> x = 0),
+        IF(k = 0, 0.1D, IF(p.v[k - 1] = 0, 0.9D / size(filter(p.v, x -> x = 0)), 0D)), IF(k = 0, 0.95D, 0.05D / {m}))))"""
+    start = start.replace("p.v[k - 1]", "get(p.v, k - 1)")
+    q = f"aggregate(sequence(1, {steps}), {start}, (q, t) -> transform(array({model}), model -> {belief})[0])"
+    got = one.selectExpr("pats", "total", f"{q} AS q").selectExpr(f"{model} AS m").first()
+    if got is None or not got.m or got.m[0].w is None:  # no rows
+        return [(0.0, [[0.0] * 3 for _ in rules])]
+    return [(float(c.w), [[float(x) for x in row] for row in c.e]) for c in got.m]
+
+
+def posterior(model: Model, rules=RULES) -> Column:
     """Probability that a row of counts is a good document."""
-    prior, ratios = model
-    odds = F.lit(prior)
-    for vote, row in zip(votes(rules), ratios):
-        odds = odds + F.when(vote == 0, F.lit(row[0])).when(vote == 2, F.lit(row[2])).otherwise(F.lit(row[1]))
-    return 1 / (1 + F.exp(-odds))
+    cast = votes(rules)
+
+    def score(weight: float, probabilities: list[list[float]]) -> Column:
+        out = F.lit(weight)
+        for vote, row in zip(cast, probabilities):
+            out = out + F.when(vote == 0, F.lit(row[0])).when(vote == 2, F.lit(row[2])).otherwise(F.lit(row[1]))
+        return out
+
+    good = score(*model[0])
+    against = F.lit(0.0)
+    for c in model[1:]:
+        against = against + F.exp(score(*c) - good)
+    return 1 / (1 + against)
 
 
 def judged(counted: DataFrame, rules=RULES) -> DataFrame:
