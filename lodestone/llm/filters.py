@@ -61,8 +61,8 @@ def sketch(text: str, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
         for lo in range(0, len(h), 1 << 16):
             counts += np.unpackbits(_mix(h[lo : lo + (1 << 16)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         fp.append(int(simhash._WEIGHTS[2 * counts > len(h)].sum()))
-    # one multiplication makes another order of well mixed hashes
-    odd = np.arange(1, 2 * BANDS * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    # multiplication by unrelated odd numbers: each makes another order of well mixed hashes
+    odd = _mix(np.arange(BANDS * ROWS, dtype=np.uint64), WORDS + 1) | np.uint64(1)
     mixed = _mix(h, WORDS)
     least = np.array([int((mixed * a).min()) for a in odd], np.uint64).reshape(BANDS, ROWS)
     bands = np.zeros(BANDS, np.uint64)
