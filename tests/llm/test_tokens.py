@@ -49,7 +49,7 @@ def test_selective_reads(spark, real):
     path = fresh_path(spark, "tokens")
     token_store.write_tokens(real, path, P.path("byte_bpe_50k.json"))
     plan = token_store.read_tokens(spark, path, tokens=False).where("doc_id = 7")._jdf.queryExecution().executedPlan().toString()
-    assert "tokens" not in plan.split("ReadSchema")[1].split("\n")[0] and "EqualTo(doc_id,7)" in plan
+    assert " tokens:" not in plan.split("ReadSchema")[1].replace(",", ", ").split("\n")[0] and "EqualTo(doc_id,7)" in plan
 
 
 def check_packed(got, capacity):
@@ -86,9 +86,8 @@ def test_packing(spark, odd, nothing, real):
 def test_local_search_saves_bins():
     sizes = [6, 6, 5, 5, 4, 4]  # best fit: 6 4 | 6 4 | 5 5
     assert len(packing.improve(sizes, [[0], [1], [2], [3], [4], [5]], 10)) == 3
-    sizes = [7, 3, 3, 4, 6, 7]
-    bins = packing.improve(sizes, [[0], [1, 2, 3], [4], [5]], 10)
-    assert sorted(i for b in bins for i in b) == list(range(6)) and len(bins) == 3
+    sizes = [5, 2, 6, 3, 4]  # 4 for 3, then 3 moves
+    assert sorted(sorted(b) for b in packing.improve(sizes, [[0, 1], [2, 3], [4]], 10)) == [[0, 1, 3], [2, 4]]
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 4096, 600).tolist()
     start = packing.best_fit(sizes, 4096)
