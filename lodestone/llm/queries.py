@@ -14,7 +14,7 @@ from .sharding import op9_minimax_shards
 from .simhash import op3_simhash
 from .token_store import op5_token_store
 from .url_filter import op2_url_filter
-from .warc import op4_warc
+from .warc import OP4_SQL, op4_warc
 from .weak_rules import op6_weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}

@@ -214,3 +214,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         header("X-Refers-To-Page").cast("long").alias("refers_to"),
     )
+
+
+#: DuckDB's version of op4_warc's rows.
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
+SELECT page_id, strlen(payload) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM p
+"""
