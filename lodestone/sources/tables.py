@@ -26,8 +26,7 @@ SHAPES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
 
 
 def tables_graph(spark: SparkSession, folder: str, *names: str) -> Graph:
-    """The named tables of a folder of Parquet tables; nothing is read until a rule asks for it.
-"""
+    """The named tables of a folder of Parquet tables; nothing is read until a rule asks for it."""
     graph = Graph(spark)
     for name in names or SHAPES:
         key, links = SHAPES[name]
