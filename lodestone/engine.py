@@ -45,6 +45,10 @@ class RuleEngine:
     def get_stratum_info(self) -> list[dict]:
         return [{"stratum": k, "rules": list(own), "rule_count": len(own)} for k, own in enumerate(strata(self.rules))]
 
+    def get_rule_stratum(self, rule: int) -> int:
+        """A rule's stratum, -1 if there is no such rule."""
+        return levels(self.rules)[rule] if 0 <= rule < len(self.rules) else -1
+
     # evaluation
 
     def _compilers(self, spark: SparkSession, scratch: Scratch):

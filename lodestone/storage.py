@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -21,12 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one evaluation. ``drop`` removes those that nothing reads any more."""
+    """Tables of one evaluation. They go when the driver ends: results may be lazy reads of them until then."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/rules-{uuid.uuid4().hex[:12]}"
+        self.used = False
+
+    def _forget(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            self.drop(self.folder)
 
     def store(self, df: DataFrame) -> tuple[DataFrame, str]:
+        if not self.used:
+            self.used = True
+            atexit.register(self._forget)
         path = f"{self.folder}/{uuid.uuid4().hex[:12]}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
