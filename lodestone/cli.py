@@ -1,6 +1,6 @@
 """Command line: parse, eval, analyze.
 
-    python -m lodestone.cli eval rules.srl data.ttl -o out.ttl
+    python -m lodestone.cli eval family.rules data.ttl -o out.ttl
 """
 
 from __future__ import annotations

@@ -70,9 +70,9 @@ def test_tables_read_only_what_is_named(spark):
 
 
 def test_command_line(tmp_path, capsys, spark):
-    (tmp_path / "r.srl").write_text("PREFIX : <http://t/>\nRULE { ?x :q ?y } WHERE { ?x :p ?y . NOT { ?x :no ?z } }", encoding="utf-8")
+    (tmp_path / "r.rules").write_text("PREFIX : <http://t/>\nRULE { ?x :q ?y } WHERE { ?x :p ?y . NOT { ?x :no ?z } }", encoding="utf-8")
     (tmp_path / "d.ttl").write_text("@prefix : <http://t/> . :a :p :b .", encoding="utf-8")
-    r, d, o = (str(tmp_path / n) for n in ("r.srl", "d.ttl", "o.ttl"))
+    r, d, o = (str(tmp_path / n) for n in ("r.rules", "d.ttl", "o.ttl"))
     assert main(["-v", "parse", r]) == 0 and main(["analyze", r, "--show-layers"]) == 0
     assert main(["-v", "eval", r, d, "-o", o]) == 0 and main(["eval", r, d, "-o", o, "--inferred-only"]) == 0
     out = capsys.readouterr().out
