@@ -47,7 +47,7 @@ class Rows:
 
 
 class Compiler:
-    """graph: what patterns read. delta: predicates whose patterns may read something else instead (semi-naive)."""
+    """graph: what patterns read; ``instead`` gives single patterns something else (a round's new triples)."""
 
     def __init__(self, spark: SparkSession, graph: Graph, scratch: Scratch, functions=None, now: str = "", rule: str = "", compat: bool = False, max_iterations: int = 1000):
         self.spark, self.graph, self.scratch, self.compat, self.max_iterations = spark, graph, scratch, compat, max_iterations
@@ -143,8 +143,6 @@ class Compiler:
 
     def is_constant(self, cell: Cell, term) -> Column:
         """Equality with a ground term, on the typed column wherever that is possible."""
-        if isinstance(term, TripleTerm):
-            term = TripleTerm(*[x for x in (term.subject, term.predicate, term.object)])
         k, v, dt, lang = row_of(term)
         t = cell.type
         if t is None:
@@ -348,7 +346,7 @@ class Compiler:
                 return self.without(elements, rows, not negated)
         rows, flags = self.flags(e, rows)
         df = rows.df.where(boolean(self.expression(e, rows, flags)))
-        return Rows(df.select(*[n for n, _ in rows.cells.values()]) if rows.cells else df, rows.cells, rows.unit and False)
+        return Rows(df.select(*[n for n, _ in rows.cells.values()]) if rows.cells else df, rows.cells)
 
     def flags(self, e, rows: Rows) -> tuple[Rows, dict[int, Column]]:
         """Columns for the EXISTS that stand inside an expression."""
