@@ -7,7 +7,7 @@ runs ``DEPTH`` contractions at a time and goes on from there with the words not
 recursion keeps is bounded. Words over ``LONG`` bytes use a second query that contracts every occurrence of the least
 pair in one step where no merge of the new token has a lower rank - then leftmost-first would do just that.
 
-Decoding: ids are cut before tokens that begin with a space, distinct pieces join the vocabulary and an ordered
+Decoding: ids are cut before tokens that begin with a space or sign, distinct pieces join the vocabulary and an ordered
 aggregation puts their bytes together.
 
 Words and pieces repeat, so each worker keeps bounded memos of both; documents are put together from them.
@@ -27,23 +27,24 @@ from pyspark.sql import functions as F
 
 from .common import table, whole_text
 
-DEPTH, LONG, BATCH, KEPT = 16, 64, 20_000, 120_000
+DEPTH, LONG, BATCH, KEPT = 16, 64, 40_000, 500_000
 
-#: A position is word << 20 | offset, a pair left << 20 | right. A word's last position has the next word's first as
-#: neighbour; that pair is left out.
+#: A position is word << 20 | offset, a pair left << 20 | right. Each position knows its right neighbour and what is
+#: there (-1: the word ends), so a contraction drops one row and changes two.
 STEP = f"""
-WITH RECURSIVE t(step, spot, id) AS (
-    SELECT 0, spot, id FROM seed
+WITH RECURSIVE t(step, spot, id, right_spot, right_id) AS (
+    SELECT 0, spot, id, right_spot, right_id FROM seed
   UNION ALL (
-    WITH n AS (
-      SELECT step, spot, spot >> 20 AS w, id, lag(spot) OVER p AS before, lead(spot) OVER p >> 20 AS next_w, lead(id) OVER p AS right_id
-      FROM t WHERE step < {DEPTH} WINDOW p AS (ORDER BY spot)),
-    b AS (
-      SELECT n.w, min((m.id << 20) | (n.spot & 1048575)) AS least
-      FROM n JOIN merges m ON m.pair = ((n.id << 20) | n.right_id) WHERE n.next_w = n.w GROUP BY n.w),
-    c AS (SELECT w, (w << 20) | (least & 1048575) AS spot, least >> 20 AS id FROM b)
-    SELECT n.step + 1, n.spot, CASE WHEN n.spot = c.spot THEN c.id ELSE n.id END
-    FROM n JOIN c ON c.w = n.w WHERE n.before IS DISTINCT FROM c.spot))
+    WITH b AS (
+      SELECT t.spot >> 20 AS w, min((m.id << 20) | (t.spot & 1048575)) AS least, arg_min(t.right_spot, (m.id << 20) | (t.spot & 1048575)) AS gone
+      FROM t JOIN merges m ON m.pair = ((t.id << 20) | t.right_id) WHERE t.step < {DEPTH} AND t.right_id >= 0 GROUP BY t.spot >> 20),
+    c AS (
+      SELECT b.w, (b.w << 20) | (b.least & 1048575) AS spot, b.least >> 20 AS id, b.gone, r.right_spot, r.right_id
+      FROM b JOIN t r ON r.spot = b.gone)
+    SELECT t.step + 1, t.spot, CASE WHEN t.spot = c.spot THEN c.id ELSE t.id END,
+      CASE WHEN t.spot = c.spot THEN c.right_spot ELSE t.right_spot END,
+      CASE WHEN t.spot = c.spot THEN c.right_id WHEN t.right_spot = c.spot THEN c.id ELSE t.right_id END
+    FROM t JOIN c ON c.w = t.spot >> 20 WHERE t.spot <> c.gone))
 SELECT step, spot, id FROM t
 """
 LONG_STEP = f"""
@@ -86,39 +87,36 @@ class Codec:
         ids = {t: k for k, t in enumerate(tokens) if t}
         merges = [(ids[t[:i]], ids[t[i:]], k) for t, k in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids]
         unsafe = {x for left, right, k in merges for x in (left, right) if k < x}
+        self.decimal = list(map(str, range(len(tokens))))
         self.byte_id = np.array([ids[bytes([b])] for b in range(256)], np.int64)
-        self.spaced = np.array([t[:1] == b" " for t in tokens])
+        # a text may be cut for decoding before any token; before spaces and signs it gives few distinct pieces
+        self.cuts = np.array([not (t[:1].isalpha() or t[:1] >= b"\x80") for t in tokens])
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, made = zip(*merges)
         self._table("merges", pair=[x << 20 | y for x, y in zip(left, right)], id=made, safe=[k not in unsafe for k in made])
         self._table("vocab", id=list(ids.values()), shown=[t.decode("latin-1") for t in ids])
-        self.young, self.old = ({}, {}), ({}, {})  # words, pieces
+        self.young, self.old = [{}, {}], [{}, {}]  # words, pieces
 
     def _table(self, name: str, **columns) -> None:
         rows = self.pa.table({k: self.pa.array(v) for k, v in columns.items()})  # noqa: F841  read by name
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM rows")
 
     def _known(self, kind: int, wanted: set, make) -> dict:
-        """Values of all ``wanted`` keys; new ones are made in batches of ``BATCH``."""
-        young, old, found, new = self.young[kind], self.old[kind], {}, []
-        for key in wanted:
-            value = young.get(key)
-            if value is None:
-                value = old.get(key)
-                if value is None:
-                    new.append(key)
-                    continue
-                young[key] = value
-            found[key] = value
-        new.sort()
+        """A mapping that has all ``wanted`` keys; new ones are made in batches of ``BATCH``. It is good until the next call."""
+        if len(self.young[kind]) > KEPT:
+            self.old[kind], self.young[kind] = self.young[kind], {}
+        young, old = self.young[kind], self.old[kind]
+        missing = wanted.difference(young)
+        young.update((k, old[k]) for k in missing.intersection(old))
+        new = list(missing.difference(old))
         for lo in range(0, len(new), BATCH):
-            found |= (got := make(new[lo : lo + BATCH]))
-            young.update((k, v) for k, v in got.items() if len(k) <= 4 * LONG)
-        if len(young) > KEPT:
-            old.clear()
-            old.update(young)
-            young.clear()
-        return found
+            young.update(make(new[lo : lo + BATCH]))
+        return young
+
+    def _forget(self, kind: int, keys, longest: int) -> None:
+        """Long keys are rare and would fill the memo."""
+        for k in [k for k in keys if len(k) > longest]:
+            self.young[kind].pop(k, None)
 
     def _contract(self, words: list[str]) -> dict[str, bytes]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -132,7 +130,10 @@ class Codec:
             w = np.repeat(np.arange(len(own), dtype=np.int64), n)
             at = (w << shift) + np.arange(len(ids), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
             while len(at):
-                self._table("seed", spot=at, w=at >> shift, id=ids)
+                w = at >> shift
+                ends = np.append(w[1:] != w[:-1], True)
+                right = {"right_spot": np.where(ends, -1, np.append(at[1:], -1)), "right_id": np.where(ends, -1, np.append(ids[1:], -1))}
+                self._table("seed", spot=at, w=w, id=ids, **right)
                 got = self.db.execute(query).fetchnumpy()
                 step, at, ids = (np.asarray(got[k]) for k in ("step", "spot", "id"))
                 w = at >> shift
@@ -158,16 +159,22 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.words(t) for t in texts]
-        known = self._known(0, set().union(*cut), self._contract)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        wanted = set().union(*cut)
+        known = self._known(0, wanted, self._contract)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        self._forget(0, wanted, LONG)
+        return out
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         cut = []
         for raw in encoded:
-            at = [0, *(np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")][1:]) * 4 + 4).tolist(), len(raw)] if raw else []
+            at = [0, *(np.flatnonzero(self.cuts[np.frombuffer(raw, "<u4")[1:]]) * 4 + 4).tolist(), len(raw)] if raw else []
             cut.append([raw[lo:hi] for lo, hi in zip(at, at[1:])])
-        known = self._known(1, set().union(*cut), self._assemble)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        wanted = set().union(*cut)
+        known = self._known(1, wanted, self._assemble)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        self._forget(1, wanted, 4 * LONG)
+        return out
 
 
 _made: dict[str, Codec] = {}
@@ -179,7 +186,7 @@ def codec(path: str) -> Codec:
     return _made[path]
 
 
-def _slices(texts: list, most_chars: int = 1 << 20):
+def _slices(texts: list, most_chars: int = 1 << 21):
     lo, held = 0, 0
     for hi, t in enumerate(texts):
         if hi > lo and held + len(t) > most_chars:
@@ -238,7 +245,7 @@ def _round_trip(path: str):
             texts = batch.column("text").to_pylist()
             for lo, hi in _slices(texts):
                 ids = own.encode(texts[lo:hi])
-                said = [hashlib.sha256(",".join(map(str, array("I", x).tolist())).encode()).hexdigest() for x in ids]
+                said = [hashlib.sha256(",".join(map(own.decimal.__getitem__, array("I", x))).encode()).hexdigest() for x in ids]
                 data = [hashlib.sha256(x).hexdigest() for x in own.decode(ids)]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), n, pa.array(said, pa.string()), pa.array(data, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
