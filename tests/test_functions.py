@@ -48,9 +48,6 @@ def values(spark, request):
     names = list(CASES)
     engine = RuleEngine(P)
     got = {}
-    interpreted = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}  # compiling each expression takes longer than running it
-    for k, v in interpreted.items():
-        spark.conf.set(k, v)
     for lo in range(0, len(names), 60):
         part = names[lo : lo + 60]
         if request.param == "typed":
@@ -61,8 +58,6 @@ def values(spark, request):
         df = rows.df.select(*[rows.cell(f"v{k}").struct().alias(f"v{k}") for k in range(len(part))])
         (row,) = df.collect()
         got |= {e: row[k] for k, e in enumerate(part)}
-    for k in interpreted:
-        spark.conf.unset(k)
     return got
 
 
