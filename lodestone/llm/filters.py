@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash, weak_rules
-from .common import stored, whole_text
+from .common import stored, stored_by, whole_text
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Four 64-bit words: pairs at the least similarity differ in about 38 of 256 bits, unrelated texts in 128 +- 8.
+#: Four 64-bit words: pairs at the least similarity differ in about 39 of 256 bits, in 48 for the shortest texts (five
+#: shingles of which four are shared), unrelated texts in 128 +- 8.
 WORDS = 4
-#: Bits that may differ: three standard deviations above what similarity 0.8 gives.
-RADIUS = 54
+#: Bits that may differ in a candidate: six standard deviations above the 48. What is linked is decided on the shingles.
+RADIUS = 86
+#: Shingles of one part of a band that a task may hold.
+HELD = 4 << 20
 #: Tiles hold texts that agree in ``ROWS`` minima of one of ``BANDS`` bands: at similarity 0.8 all but 2 in 10,000 pairs.
 BANDS, ROWS = 12, 3
 _ROW, _MARK = "__kept_row", "__kept_mark"
@@ -41,20 +44,27 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
-    """(SimHash words, band values) of the set of word shingles; no words: zeros."""
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Ascending hashes of the set of word shingles."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").translate(simhash._LOWER).split()
     if not words:
-        return [0] * WORDS, [0] * BANDS
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
     line = b" ".join(words)
     h = np.fromiter(map(xxh64_intdigest, map(line.__getitem__, map(slice, starts, stops)), repeat(simhash.SEED)), np.uint64, n)
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def sketch(text: str, shingle: int = SHINGLE) -> tuple[list[int], list[int], int]:
+    """(SimHash words, band values, size) of the set of word shingles; no words: zeros."""
+    h = shingles(text, shingle)
+    if not len(h):
+        return [0] * WORDS, [0] * BANDS, 0
     fp = []
     for k in range(WORDS):
         counts = np.zeros(64, np.int64)
@@ -68,7 +78,7 @@ def sketch(text: str, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
     bands = np.zeros(BANDS, np.uint64)
     for r in range(ROWS):
         bands = _mix(bands ^ least[:, r], r)
-    return fp, bands.tolist()
+    return fp, bands.tolist(), len(h)
 
 
 def _sketches(shingle: int):
@@ -79,13 +89,54 @@ def _sketches(shingle: int):
             got = [sketch(x.as_py(), shingle) for x in batch.column("text")]
             columns = [np.array([g[k] for g in got], np.uint64).view(np.int64).reshape(len(got), -1) for k in (0, 1)]
             lists = [pa.array(list(c), pa.list_(pa.int64())) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("doc_id"), *lists], names=["mark", "doc_id", "fp", "bands"])
+            sizes = pa.array([g[2] for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("doc_id"), *lists, sizes], names=["mark", "doc_id", "fp", "bands", "size"])
 
     return run
 
 
-def tile_links(fps: np.ndarray, radius: int, split: int | None, tile: int = simhash.TILE) -> list[tuple[int, int]]:
-    """As ``simhash.tile_links`` for fingerprints of several words (rows)."""
+def _sets(shingle: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [shingles(x.as_py(), shingle).view(np.int64) for x in batch.column("text")]
+            columns = [batch.column("node"), batch.column("fp"), batch.column("meets"), pa.array(got, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "meets", "own"])
+
+    return run
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two ascending sets: shared elements of all; two empty sets are alike."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return float(not len(b))
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
+def _joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """As ``simhash._joined``, of candidates: those whose sets are alike. A candidate within one set already needs no look."""
+    used, step = [], 16
+    while len(a):
+        open_ = parent[a] != parent[b]
+        a, b = a[open_], b[open_]
+        known = len(used)
+        for x, y in zip(a[:step].tolist(), b[:step].tolist()):
+            if parent[x] != parent[y] and similarity(sets[x], sets[y]) >= SIMILARITY:
+                hi, lo = max(parent[x], parent[y]), min(parent[x], parent[y])
+                parent[parent == hi] = lo
+                used.append((x, y))
+        a, b = a[step:], b[step:]
+        step = 16 if len(used) > known else 2 * step
+    return used
+
+
+def tile_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, split: int | None, tile: int = simhash.TILE) -> list[tuple[int, int]]:
+    """As ``simhash.tile_links`` for fingerprints of several words (rows); a link's shingle sets (ascending) are alike."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
     parts = [np.arange(len(fps))] if split is None else [np.arange(split), np.arange(split, len(fps))]
     ones = np.bitwise_count(fps).sum(axis=1).astype(np.int64)
     tiles = []
@@ -102,8 +153,11 @@ def tile_links(fps: np.ndarray, radius: int, split: int | None, tile: int = simh
             apart = np.zeros((len(x), len(y)), np.uint16)
             for w in range(fps.shape[1]):
                 apart += np.bitwise_count(fps[x, w][:, None] ^ fps[y, w][None, :])
-            a, b = np.nonzero(apart <= radius)
-            used += simhash._joined(parent, x[a], y[b])
+            less, more = np.minimum(size[x][:, None], size[y][None, :]), np.maximum(size[x][:, None], size[y][None, :])
+            near = (apart <= radius) & (less >= SIMILARITY * more - 1e-6)  # sizes further apart than that can't be alike
+            a, b = np.nonzero(np.triu(near, 1) if x is y else near)
+            likely = np.argsort(apart[a, b], kind="stable")
+            used += _joined(parent, x[a[likely]], y[b[likely]], sets)
     return used
 
 
@@ -112,10 +166,11 @@ def _compare(radius: int):
         import pyarrow as pa
 
         def close(held):
-            node, side, fps = (np.concatenate(x) for x in zip(*held))
+            node, side, fps = (np.concatenate([h[k] for h in held]) for k in range(3))
+            sets = [x for h in held for x in h[3]]
             held.clear()
             split = int((side == 0).sum())
-            return [(node[a], node[b]) for a, b in tile_links(fps, radius, split if 0 < split < len(side) else None)]
+            return [(node[a], node[b]) for a, b in tile_links(fps, sets, radius, split if 0 < split < len(side) else None)]
 
         held: list = []
         last = None
@@ -124,13 +179,15 @@ def _compare(radius: int):
                 continue
             band, value, pair, side, node, *words = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("band", "value", "pair", "side", "node", *[f"f{w}" for w in range(WORDS)]))
             fps = np.stack(words, axis=1).view(np.uint64)
+            ends, own = batch.column("own").offsets.to_numpy().tolist(), batch.column("own").values.to_numpy().view(np.uint64)
+            sets = [own[lo:hi] for lo, hi in zip(ends, ends[1:])]
             new = np.flatnonzero((band[1:] != band[:-1]) | (value[1:] != value[:-1]) | (pair[1:] != pair[:-1])) + 1
             cuts, out = [0, *new.tolist(), len(node)], []
             for lo, hi in zip(cuts, cuts[1:]):
                 key = (band[lo], value[lo], pair[lo])
                 if held and key != last:
                     out += close(held)
-                held.append((node[lo:hi], side[lo:hi], fps[lo:hi]))
+                held.append((node[lo:hi], side[lo:hi], fps[lo:hi], sets[lo:hi]))
                 last = key
             yield simhash._edges(pa, out)
         if held:
@@ -139,17 +196,24 @@ def _compare(radius: int):
     return run
 
 
-def _links(distinct: DataFrame, radius: int, part: int = simhash.PART) -> DataFrame:
-    """(a, b) between nodes, enough to connect all pairs of one tile within ``radius`` bits."""
+def _links(distinct: DataFrame, texts: DataFrame, shingle: int, radius: int, part: int = simhash.PART) -> DataFrame:
+    """(a, b) between nodes, enough to connect all pairs of one tile within ``radius`` bits whose shingles are alike.
+
+    Shingle sets are made again, from ``texts`` (node, text), for nodes that meet another one, and go with them.
+    """
+    rows = distinct.select("node", "size", F.posexplode("bands").alias("band", "value"))
+    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1")
+    sizes = sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / part, F.col("held") / HELD, F.lit(1))).cast("int").alias("parts"))
+    meets = rows.join(sizes, ["band", "value"]).groupBy("node").agg(F.collect_list(F.struct("band", "value", "parts")).alias("meets"))
+    found = texts.join(distinct.select("node", "fp").join(meets, "node"), "node").select("node", "fp", "meets", "text")
+    found = found.mapInArrow(_sets(shingle), "node long, fp array<long>, meets array<struct<band:int,value:long,parts:int>>, own array<long>")
     words = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(WORDS)]
-    rows = distinct.select("node", *words, F.posexplode("bands").alias("band", "value"))
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes.select("band", "value", F.ceil(F.col("n") / part).cast("int").alias("parts")), ["band", "value"])
+    rows = found.select("node", *words, F.col("own").alias("set"), F.inline("meets"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pair = F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other")
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    rows = rows.select("band", "value", pair.alias("pair"), side.alias("side"), "node", *[f"f{w}" for w in range(WORDS)])
+    rows = rows.select("band", "value", pair.alias("pair"), side.alias("side"), "node", *[f"f{w}" for w in range(WORDS)], F.col("set").alias("own"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "band", "value", "pair").sortWithinPartitions("band", "value", "pair", "side")
     return rows.mapInArrow(_compare(radius), "a long, b long").distinct()
@@ -158,17 +222,18 @@ def _links(distinct: DataFrame, radius: int, part: int = simhash.PART) -> DataFr
 def one_of_each_class(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each class of near copies (word shingles' similarity 0.8 or more), that of the smallest doc_id.
 
-    SimHash at 256 bits with tiled exact comparison. At this similarity bits differ too often for the pigeonhole
+    Rows that go are joined to the one that stays by links of which each has that similarity, counted on the shingle sets.
+    SimHash at 256 bits with tiled comparison finds what to count. At this similarity bits differ too often for the pigeonhole
     bands of ``simhash``, so tiles are keyed by minima of the same shingles' hashes: what can be alike meets in some
     tile, and the comparison's cost follows the tiles, not the square of the documents.
     """
-    marked = stored(docs.select(F.struct("*").alias(_ROW), F.monotonically_increasing_id().alias(_MARK)), "marked")
+    marked = stored_by(docs.select(F.struct("*").alias(_ROW), F.monotonically_increasing_id().alias(_MARK)), _MARK, "marked")
     texts = marked.select(F.col(_MARK).alias("mark"), F.col(f"{_ROW}.doc_id").cast("long").alias("doc_id"), whole_text(f"{_ROW}.text").alias("text"))
-    sketches = stored(texts.mapInArrow(_sketches(shingle), "mark long, doc_id long, fp array<long>, bands array<long>"), "sketches")
+    sketches = stored(texts.mapInArrow(_sketches(shingle), "mark long, doc_id long, fp array<long>, bands array<long>, size long"), "sketches")
     # equal sketches (copies, however many) are one node
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best")
-    nodes = stored(sketches.groupBy("fp", "bands").agg(F.min("mark").alias("node"), best), "nodes")
-    found = components(_links(nodes, radius))
+    nodes = stored(sketches.groupBy("fp", "bands").agg(F.min("mark").alias("node"), F.max("size").alias("size"), best), "nodes")
+    found = components(_links(nodes, texts.select(F.col("mark").alias("node"), "text"), shingle, radius))
     classes = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("best").alias("best"))
     keep = classes.select(F.col("best.mark").alias(_MARK))
     return marked.join(keep, _MARK, "left_semi").select(f"{_ROW}.*")

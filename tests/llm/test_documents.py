@@ -282,3 +282,33 @@ def test_near_copies_go_and_others_stay(spark):
             n += 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in filters.one_of_each_class(docs).collect()) == [3 * k for k in range(60)]
+
+
+def test_what_goes_is_linked_at_the_least_similarity(spark):
+    """Changed words at places far apart: similarities of 0.6 to 0.9, and chains of near copies."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    rows = []
+    for base in range(40):
+        words = [word() for _ in range(240)]
+        rows.append(" ".join(words))
+        for changed in (4, 6, 9, 11, 12):
+            other = words[:]
+            for k in range(changed):
+                other[k * 20 + 3] = word()
+            rows.append(" ".join(other))
+        for step in range(4):  # each is near the one before, the last is far from the first
+            words = words[:]
+            for k in range(4):
+                words[(step * 4 + k) * 14 + 7] = word()
+            rows.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for t in rows]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b - b % 10, b):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    want = sorted(set(root))
+    assert 40 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in filters.one_of_each_class(docs).collect()) == want
