@@ -6,11 +6,15 @@ each rule. Expectation-maximisation over all documents estimates, without labels
 each rule's votes are right in each class (its accuracies); an abstention says nothing. The verdict is the posterior
 probability of the good class. It starts from "good unless some rule rejects". Without labels, "these are bad" and
 "this rule errs on these" explain a lone rule's votes equally well; that is decided by taking it that no rule rejects more
-than ``MISFIRE`` of the good documents. A rule that rejects fewer documents than that is overruled by the others.
+than ``MISFIRE`` of the good documents. Below that share both explain a rule's votes, and the start decides: what it
+rejects goes, unless the votes of other rules speak for another reading.
+
+A verdict depends on shares alone. Whatever its rows, a table counts as ``ROWS`` documents, so the pseudo-counts that keep
+logarithms finite are fixed shares of it, and steps go on until none moves a document's probability by ``MOVED``.
 
 Counts are SQL expressions over one row, so texts are read once and never shuffled; the narrow table of
 counts is kept. Documents with equal votes are one row with a count: at most 3 ^ rules rows, whatever the
-corpus, so the whole of EM runs inside one ``aggregate`` expression and its few dozen numbers reach the driver.
+corpus, so EM runs inside ``aggregate`` expressions of ``BLOCK`` steps and its few dozen numbers reach the driver.
 
 Three-word windows are compared by 64-bit hash within one text. Defined results: null texts have no words
 (all counts 0, base_failed true); null and repeated ids keep their rows; an empty table gives no rows.
@@ -29,6 +33,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_distinct")
 STEPS, MIN_WORDS = 30, 50
 MISFIRE = 0.005
+ROWS, MOVED, BLOCK = 1e7, 1e-4, 2000
 #: (name, reject where, keep where): integer arithmetic on the counts.
 RULES = (
     ("symbols", "20 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
@@ -99,10 +104,15 @@ def votes(rules=RULES) -> list[Column]:
 Model = list[tuple[float, list[list[float]]]]
 
 
-def fit(counted: DataFrame, rules=RULES, steps: int = STEPS) -> Model:
-    """For each class (good first) the log share and what each rule's three votes add to its log likelihood, from all rows."""
+def fit(counted: DataFrame, rules=RULES, steps: int | None = STEPS, counts_as: float | None = None) -> Model:
+    """For each class (good first) the log share and what each rule's three votes add to its log likelihood, from all rows.
+
+    ``steps`` None: until nothing moves. ``counts_as``: the documents that the table stands for, None for its rows.
+    """
     patterns = counted.groupBy(F.array(*votes(rules)).alias("v")).agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("pats"), F.sum("n").alias("total"))  # at most 3 ^ rules entries
+    if counts_as is not None:
+        one = one.selectExpr(f"transform(pats, p -> named_struct('v', p.v, 'n', p.n * ({counts_as}D / total))) AS pats", f"IF(total > 0, {counts_as}D, total) AS total")
     m = len(rules)
     mass = lambda where: f"aggregate(z, 0D, (a, p) -> a + IF({where}, p.n * p.x[k], 0D))"
     rejects = f"({mass('p.v[j] = 0')} + IF(k = j + 1, 3D, 0.5D)) / ({mass('p.v[j] <> 1')} + IF(k = j + 1, 3D, 0.5D) + 1)"
@@ -115,8 +125,21 @@ def fit(counted: DataFrame, rules=RULES, steps: int = STEPS) -> Model:
     start = f"""transform(pats, p -> transform(sequence(0, {m}), k -> IF(exists(p.v, x -> x = 0),
         IF(k = 0, 0.1D, IF(p.v[k - 1] = 0, 0.9D / size(filter(p.v, x -> x = 0)), 0D)), IF(k = 0, 0.95D, 0.05D / {m}))))"""
     start = start.replace("p.v[k - 1]", "get(p.v, k - 1)")
-    q = f"aggregate(sequence(1, {steps}), {start}, (q, t) -> transform(array({model}), model -> {belief})[0])"
-    got = one.selectExpr("pats", "total", f"{q} AS q").selectExpr(f"{model} AS m").first()
+    after = f"transform(array({model}), model -> {belief})[0]"
+    if steps is None:
+        most = lambda items: f"aggregate({items}, 0D, (a, b) -> greatest(a, b))"
+        apart = most(f"zip_with(q, x, (b, c) -> {most('zip_with(b, c, (d, e) -> abs(d - e))')})")
+        step = f"transform(array(s.q), q -> transform(array({after}), x -> named_struct('q', x, 'moved', {apart}))[0])[0]"
+        block = f"aggregate(sequence(1, {BLOCK}), s, (s, t) -> IF(s.moved < {MOVED}D, s, {step})) AS s"
+        one = one.selectExpr("pats", "total", f"named_struct('q', {start}, 'moved', 1D) AS s")
+        while True:
+            one = stored(one.selectExpr("pats", "total", block), "beliefs")
+            if one.where(f"s.moved >= {MOVED}D").isEmpty():
+                break
+        fitted = one.selectExpr("pats", "total", "s.q AS q")
+    else:
+        fitted = one.selectExpr("pats", "total", f"aggregate(sequence(1, {steps}), {start}, (q, t) -> {after}) AS q")
+    got = fitted.selectExpr(f"{model} AS m").first()
     if got is None or not got.m or got.m[0].w is None:  # no rows
         return [(0.0, [[0.0] * 3 for _ in rules])]
     return [(float(c.w), [[float(x) for x in row] for row in c.e]) for c in got.m]
@@ -142,7 +165,7 @@ def posterior(model: Model, rules=RULES) -> Column:
 def judged(counted: DataFrame, rules=RULES) -> DataFrame:
     """``counted`` (a stored table of counts) with base_failed, probability and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = counted.withColumns({"base_failed": failed, "probability": posterior(fit(counted, rules), rules)})
+    rows = counted.withColumns({"base_failed": failed, "probability": posterior(fit(counted, rules, None, ROWS), rules)})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= 0.5))
 
 

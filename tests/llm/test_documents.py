@@ -175,6 +175,21 @@ def test_rules_find_what_labels_call_bad(spark):
     assert sum(not k for y, k in seen if y == 0) >= 0.9 * sum(1 - y for y, _ in seen)
 
 
+def test_verdicts_follow_shares_not_rows(spark):
+    """A defect that only few rows have, in tables of 1,000 rows and their repetitions."""
+    clean = dict(n_words=100, word_chars=500, n_symbols=0, n_dup_lines=0, n_repeat_words=0, n_lines=5, n_capitals=5, n_bangs=0, n_distinct=70)
+    kinds = [(clean, 943), (clean | {"n_symbols": 100}, 4), (clean | {"n_bangs": 40}, 50), (clean | {"n_repeat_words": 40}, 1), (clean | {"n_capitals": 200}, 2)]
+    names = list(clean)
+    few = spark.createDataFrame([(k, *(c[x] for x in names), n) for k, (c, n) in enumerate(kinds)], ["doc_id", *names, "n"])
+    seen = []
+    for times in (1, 3, 10, 100):
+        rows = few.selectExpr("doc_id", *names, f"explode(sequence(1L, n * {times}L)) AS copy")
+        got = weak_rules.judged(rows).select("doc_id", "kept", "probability").distinct().collect()
+        seen.append([(r.doc_id, r.kept, round(r.probability, 6)) for r in sorted(got)])
+    assert all(s == seen[0] for s in seen)
+    assert [k for _, k, _ in seen[0]] == [True, False, False, False, False]
+
+
 def test_classifier(spark, odd, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
