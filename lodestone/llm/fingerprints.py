@@ -7,8 +7,8 @@ one; windows with ``share`` of a stretch's votes are the text's features. Featur
 2,048-bit Bloom filters, five bits each, 160 features to a filter. Likeness is the mean, weighted by set bits, over
 the shorter chain's filters of the best normalised bit overlap: 0 at what chance gives, 1 at one inside the other.
 
-Two scales: windows of 32 bytes for texts of 192 bytes or more, windows of 8 bytes for those under 384; two digests are
-compared at the largest scale both have, so there is no length at which like texts can't be compared.
+Two scales: windows of 32 bytes for texts of 192 bytes or more, windows of 8 bytes for all; two digests are compared at the
+largest scale both have, so there is no length at which like texts can't be compared.
 
 Defined results: a null text is empty; an empty text's fingerprint is "" and like only to another empty one (1, else
 0); the last document's next is the first, a lone document's is itself; null ids sort first; repeated ids stand in
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import order_key, ordered_buckets, table, whole_text
 
 SCALES = (32, 8)
-LARGE_FROM, SMALL_UNDER = 192, 384
+LARGE_FROM = 192
 VOTES_SHARE = 4  # a feature has a quarter of a stretch's votes
 FILTER_BITS, HASHES, PER_FILTER = 2048, 5, 160
 CLASSES = 1001
@@ -135,7 +135,7 @@ def digests(texts: list[str], rank: dict[int, np.ndarray]) -> list[Digest]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     out: list[Digest] = [{} for _ in raw]
     for width in SCALES:
-        mine = [i for i, x in enumerate(raw) if x and (len(x) >= LARGE_FROM if width == SCALES[0] else len(x) < SMALL_UNDER)]
+        mine = [i for i, x in enumerate(raw) if x and (len(x) >= LARGE_FROM or width != SCALES[0])]
         if mine:
             for i, h in zip(mine, features([raw[i] for i in mine], width, rank[width])):
                 out[i][width] = chain(h)
@@ -189,7 +189,7 @@ def _count(batches):
         for lo, hi in _slices(texts):
             raw = [t.encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
             sums[SCALES[0]] += class_counts([x for x in raw if len(x) >= LARGE_FROM], SCALES[0])
-            sums[SCALES[1]] += class_counts([x for x in raw if len(x) < SMALL_UNDER], SCALES[1])
+            sums[SCALES[1]] += class_counts(raw, SCALES[1])
         rows = [(w, k, int(n)) for w, s in sums.items() for k, n in enumerate(s) if n]
         columns = zip(*rows) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], names=["width", "class", "n"])

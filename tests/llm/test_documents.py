@@ -54,6 +54,15 @@ def test_likeness_orders_texts(real):
     assert all(fingerprints.likeness(a, a) == 1.0 for a in own)
 
 
+def test_texts_of_any_two_lengths_can_be_compared(real):
+    texts = [r.text for r in real.collect() if r.text.isascii() and len(r.text) > 600][:20]
+    rank = {w: fingerprints.ranks(fingerprints.class_counts([t.encode() for t in texts], w)) for w in fingerprints.SCALES}
+    for t in texts:
+        short, longer = fingerprints.digests([t[:190], t[:390]], rank)
+        assert fingerprints.likeness(short, longer) > 0.9
+        assert set(fingerprints.digests([t[:1]], rank)[0]) & set(fingerprints.digests([t], rank)[0])
+
+
 def brute_fingerprint(text, shingle=4):
     from xxhash import xxh64_intdigest
 
