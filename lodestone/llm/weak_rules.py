@@ -1,20 +1,20 @@
 """Quality rules under weak supervision (operator 6, native).
 
-Each rule looks at a document's counts and votes reject (0), abstain (1) or keep (2). Bad documents are bad in
-different ways that have little in common, so there is one latent class of good documents and one of bad ones for
-each rule. Expectation-maximisation over all documents estimates, without labels, the classes' shares and how often
-each rule's votes are right in each class (its accuracies); an abstention says nothing. The verdict is the posterior
-probability of the good class. It starts from "good unless some rule rejects". Without labels, "these are bad" and
-"this rule errs on these" explain a lone rule's votes equally well; that is decided by taking it that no rule rejects more
-than ``MISFIRE`` of the good documents. Below that share both explain a rule's votes, and the start decides: what it
-rejects goes, unless the votes of other rules speak for another reading.
-
-A verdict depends on shares alone. Whatever its rows, a table counts as ``ROWS`` documents, so the pseudo-counts that keep
-logarithms finite are fixed shares of it, and steps go on until none moves a document's probability by ``MOVED``.
+Each rule looks at a document's counts and votes reject (0), abstain (1) or keep (2). Rules overlap on purpose: a
+symptom is seen by several rules with thresholds of their own, strict and loose, so a single loose rule can be
+wrong. Expectation-maximisation over all documents estimates, without labels, the share of bad documents and each
+rule's two accuracies: how often its vote is "reject" on bad and on good documents. An abstention says nothing.
+The verdict is the posterior probability of a good document; a lone rejection by a rule that also rejects good
+documents is outvoted, several loose ones together reject.
+
+Priors are beta distributions worth ``STRENGTH`` of the table (``PRIOR_BAD``, ``PRIOR_CAUGHT``, ``PRIOR_FALSE``: all they say is
+that bad documents are the fewer and that a rule rejects them more often than good ones), so verdicts depend on
+shares and a table repeated k times is judged alike. The search starts from the number of rejections.
 
 Counts are SQL expressions over one row, so texts are read once and never shuffled; the narrow table of
 counts is kept. Documents with equal votes are one row with a count: at most 3 ^ rules rows, whatever the
-corpus, so EM runs inside ``aggregate`` expressions of ``BLOCK`` steps and its few dozen numbers reach the driver.
+corpus. A step of EM is one aggregation over that table: posteriors are a column, sums of them are the next
+model, and only those two dozen sums reach the driver.
 
 Three-word windows are compared by 64-bit hash within one text. Defined results: null texts have no words
 (all counts 0, base_failed true); null and repeated ids keep their rows; an empty table gives no rows.
@@ -22,6 +22,8 @@ Three-word windows are compared by 64-bit hash within one text. Defined results:
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +32,27 @@ from .common import stored, table, whole_text
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"  # fixed values: the base count's symbols
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_distinct")
-STEPS, MIN_WORDS = 30, 50
-MISFIRE = 0.005
-ROWS, MOVED, BLOCK = 1e7, 1e-4, 2000
+SYMBOL_RUN = r"[#*$%&|<>]+"
+UNLETTERED = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"  # a word without a letter
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_distinct", "n_symbol_runs", "n_unlettered", "n_stops"
+)
+MIN_WORDS = 50
+STRENGTH, PRIOR_BAD, PRIOR_CAUGHT, PRIOR_FALSE = 0.02, 0.05, 0.3, 0.02
+MOST_STEPS, SETTLED = 200, 1e-4
 #: (name, reject where, keep where): integer arithmetic on the counts.
 RULES = (
-    ("symbols", "20 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
-    ("repeated_lines", "10 * n_dup_lines > 6 * n_lines", "n_dup_lines = 0"),
+    ("symbols", "5 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
+    ("symbols_a_word", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("symbol_runs", "10 * n_symbol_runs > n_words", "100 * n_symbol_runs <= n_words"),
+    ("word_length", "word_chars > 7 * n_words OR word_chars < 4 * n_words", "word_chars <= 6 * n_words AND 2 * word_chars >= 9 * n_words"),
+    ("unlettered", "5 * n_unlettered > n_words", "20 * n_unlettered <= n_words"),
+    ("shouting", "5 * n_capitals > word_chars", "20 * n_capitals <= word_chars"),
+    ("exclaiming", "10 * n_bangs > n_words", "50 * n_bangs <= n_words"),
     ("repeated_words", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
-    ("shouting", "3 * n_capitals > word_chars", "10 * n_capitals <= word_chars"),
-    ("exclaiming", "5 * n_bangs > n_words", "50 * n_bangs <= n_words"),
-    ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 12 * n_words"),
-    ("variety", "20 * n_distinct < n_words", "10 * n_distinct >= n_words"),
-    ("length", "n_words < 10", "n_words >= 50"),
+    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines"),
+    ("variety", "5 * n_distinct < 3 * n_words", "10 * n_distinct >= 7 * n_words"),
+    ("sentences", "25 * n_stops < n_words OR 4 * n_stops > n_words", "20 * n_stops >= n_words AND 5 * n_stops <= n_words"),
 )
 
 
@@ -92,6 +101,9 @@ def counts(docs: DataFrame) -> DataFrame:
         _removed(text, SYMBOLS).alias("n_symbols"),
         _removed(text, CAPITALS).alias("n_capitals"),
         _removed(text, "!").alias("n_bangs"),
+        _removed(text, ".?").alias("n_stops"),
+        F.regexp_count(text, F.lit(SYMBOL_RUN)).alias("n_symbol_runs"),
+        F.regexp_count(text, F.lit(UNLETTERED)).alias("n_unlettered"),
     )
     parts = {"n_words": "w", "n_repeat_words": "w", "n_distinct": "w", "n_lines": "x", "n_dup_lines": "x"}
     return found.select("doc_id", *[F.col(f"{parts[c]}.{c}" if c in parts else c).cast("long").alias(c) for c in COUNTS])
@@ -101,71 +113,58 @@ def votes(rules=RULES) -> list[Column]:
     return [F.when(F.expr(bad), 0).when(F.expr(good), 2).otherwise(1) for _, bad, good in rules]
 
 
-Model = list[tuple[float, list[list[float]]]]
+#: log odds of a bad document, and for each rule what "reject" and "keep" add to them.
+Model = tuple[float, list[tuple[float, float]]]
+
 
+def _odds(v: Column, model: Model) -> Column:
+    """Log odds that a document with these votes is bad. The model is one constant, so every step runs the same code."""
+    added = F.array(*[F.array(F.lit(reject), F.lit(0.0), F.lit(keep)) for reject, keep in model[1]])
+    return F.aggregate(F.zip_with(v, added, lambda x, w: F.get(w, x)), F.lit(model[0]), lambda a, x: a + x)
 
-def fit(counted: DataFrame, rules=RULES, steps: int | None = STEPS, counts_as: float | None = None) -> Model:
-    """For each class (good first) the log share and what each rule's three votes add to its log likelihood, from all rows.
 
-    ``steps`` None: until nothing moves. ``counts_as``: the documents that the table stands for, None for its rows.
-    """
+def fit(counted: DataFrame, rules=RULES, most_steps: int = MOST_STEPS) -> Model:
+    """The model that EM settles on over all rows of ``counted``."""
     patterns = counted.groupBy(F.array(*votes(rules)).alias("v")).agg(F.count("*").cast("double").alias("n"))
-    one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("pats"), F.sum("n").alias("total"))  # at most 3 ^ rules entries
-    if counts_as is not None:
-        one = one.selectExpr(f"transform(pats, p -> named_struct('v', p.v, 'n', p.n * ({counts_as}D / total))) AS pats", f"IF(total > 0, {counts_as}D, total) AS total")
-    m = len(rules)
-    mass = lambda where: f"aggregate(z, 0D, (a, p) -> a + IF({where}, p.n * p.x[k], 0D))"
-    rejects = f"({mass('p.v[j] = 0')} + IF(k = j + 1, 3D, 0.5D)) / ({mass('p.v[j] <> 1')} + IF(k = j + 1, 3D, 0.5D) + 1)"
-    logs = f"transform(array(IF(k = 0, least({rejects}, {MISFIRE}D), {rejects})), r -> array(ln(r), 0D, ln(1 - r)))[0]"
-    model = f"""transform(array(zip_with(pats, q, (p, x) -> named_struct('v', p.v, 'n', p.n, 'x', x))), z -> transform(sequence(0, {m}), k ->
-        named_struct('w', ln(({mass('true')} + 1) / (total + {m + 1})), 'e', transform(sequence(0, {m - 1}), j -> {logs}))))[0]"""
-    scores = f"transform(model, c -> c.w + aggregate(sequence(0, {m - 1}), 0D, (a, j) -> a + c.e[j][p.v[j]]))"
-    raised = f"transform(array({scores}), s -> transform(s, y -> exp(y - array_max(s))))[0]"
-    belief = f"transform(pats, p -> transform(array({raised}), t -> transform(t, y -> y / aggregate(t, 0D, (a, b) -> a + b)))[0])"
-    start = f"""transform(pats, p -> transform(sequence(0, {m}), k -> IF(exists(p.v, x -> x = 0),
-        IF(k = 0, 0.1D, IF(p.v[k - 1] = 0, 0.9D / size(filter(p.v, x -> x = 0)), 0D)), IF(k = 0, 0.95D, 0.05D / {m}))))"""
-    start = start.replace("p.v[k - 1]", "get(p.v, k - 1)")
-    after = f"transform(array({model}), model -> {belief})[0]"
-    if steps is None:
-        most = lambda items: f"aggregate({items}, 0D, (a, b) -> greatest(a, b))"
-        apart = most(f"zip_with(q, x, (b, c) -> {most('zip_with(b, c, (d, e) -> abs(d - e))')})")
-        step = f"transform(array(s.q), q -> transform(array({after}), x -> named_struct('q', x, 'moved', {apart}))[0])[0]"
-        block = f"aggregate(sequence(1, {BLOCK}), s, (s, t) -> IF(s.moved < {MOVED}D, s, {step})) AS s"
-        one = one.selectExpr("pats", "total", f"named_struct('q', {start}, 'moved', 1D) AS s")
-        while True:
-            one = stored(one.selectExpr("pats", "total", block), "beliefs")
-            if one.where(f"s.moved >= {MOVED}D").isEmpty():
-                break
-        fitted = one.selectExpr("pats", "total", "s.q AS q")
-    else:
-        fitted = one.selectExpr("pats", "total", f"aggregate(sequence(1, {steps}), {start}, (q, t) -> {after}) AS q")
-    got = fitted.selectExpr(f"{model} AS m").first()
-    if got is None or not got.m or got.m[0].w is None:  # no rows
-        return [(0.0, [[0.0] * 3 for _ in rules])]
-    return [(float(c.w), [[float(x) for x in row] for row in c.e]) for c in got.m]
+    patterns = stored(patterns.coalesce(1), "patterns")  # bounded, see above
+    wide = patterns.select("v", "n", *[(F.get("v", F.lit(j)) == 0).cast("double").alias(f"no{j}") for j in range(len(rules))], *[(F.get("v", F.lit(j)) != 1).cast("double").alias(f"said{j}") for j in range(len(rules))])
+
+    def sums(weight: Column) -> list[float]:
+        """Of all documents, of the rejecting ones of each rule, of the voting ones of each rule."""
+        columns = [F.lit(1.0), *[F.col(f"{c}{j}") for c in ("no", "said") for j in range(len(rules))]]
+        return [x or 0.0 for x in wide.withColumn("w", F.col("n") * weight).agg(*[F.sum(F.col("w") * c).alias(str(k)) for k, c in enumerate(columns)]).first()]
+
+    every, m = sums(F.lit(1.0)), len(rules)
+    model: Model = (0.0, [(0.0, 0.0)] * m)
+    if not every[0]:
+        return model  # no rows
+    held = STRENGTH * every[0]  # what a prior weighs
+    belief = F.greatest(F.least(F.size(F.filter("v", lambda x: x == 0)) / 2, F.lit(1 - STRENGTH)), F.lit(STRENGTH))  # where the search starts
+    for _ in range(most_steps):
+        bad = sums(belief)
+        share = (bad[0] + held * PRIOR_BAD) / (every[0] + held)
+        added = []
+        for j in range(1, m + 1):
+            caught = (bad[j] + held * PRIOR_CAUGHT) / (bad[m + j] + held)
+            false = (every[j] - bad[j] + held * PRIOR_FALSE) / (every[m + j] - bad[m + j] + held)
+            added.append((log(caught / false), log((1 - caught) / (1 - false))))
+        before, model = model, (log(share / (1 - share)), added)
+        moved = max(abs(x - y) for a, b in zip([(before[0],), *before[1]], [(model[0],), *added]) for x, y in zip(a, b))
+        if moved < SETTLED:
+            break
+        belief = 1 / (1 + F.exp(-_odds(F.col("v"), model)))
+    return model
 
 
 def posterior(model: Model, rules=RULES) -> Column:
     """Probability that a row of counts is a good document."""
-    cast = votes(rules)
-
-    def score(weight: float, probabilities: list[list[float]]) -> Column:
-        out = F.lit(weight)
-        for vote, row in zip(cast, probabilities):
-            out = out + F.when(vote == 0, F.lit(row[0])).when(vote == 2, F.lit(row[2])).otherwise(F.lit(row[1]))
-        return out
-
-    good = score(*model[0])
-    against = F.lit(0.0)
-    for c in model[1:]:
-        against = against + F.exp(score(*c) - good)
-    return 1 / (1 + against)
+    return 1 / (1 + F.exp(_odds(F.array(*votes(rules)), model)))
 
 
 def judged(counted: DataFrame, rules=RULES) -> DataFrame:
     """``counted`` (a stored table of counts) with base_failed, probability and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = counted.withColumns({"base_failed": failed, "probability": posterior(fit(counted, rules, None, ROWS), rules)})
+    rows = counted.withColumns({"base_failed": failed, "probability": posterior(fit(counted, rules), rules)})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= 0.5))
 
 
