@@ -4,8 +4,15 @@ Encoding: the pattern's matches ("words") that a worker hasn't met go into a tab
 id), one row for each byte. A recursive query joins neighbouring positions with the merge table (left, right -> id,
 which is also the rank) and contracts each word's leftmost pair of least rank until no word has a pair left. It
 runs ``DEPTH`` contractions at a time and goes on from there with the words not yet done, so what the
-recursion keeps is bounded. Words over ``LONG`` bytes use a second query that contracts every occurrence of the least
-pair in one step where no merge of the new token has a lower rank - then leftmost-first would do just that.
+recursion keeps is bounded, as are the rows that go in at once.
+
+Words over ``WINDOW`` bytes are contracted in windows that overlap by half, each distinct one once. Two neighbours are joined at
+a token that both have at the same place. That is exact: if two neighbouring tokens stay apart when contracted by
+themselves, and so for every pair of a sequence, then no merge ever crosses any of the boundaries, whatever
+the word's length; each pair of the joined sequence stands side by side in some window. Where neighbours have no
+token in common (rows of equal characters) they are contracted again in windows ``WIDER`` times as long, at last as
+one; these wide windows use a second query, which contracts every occurrence of the least pair in one step where
+no merge of the new token has a lower rank - leftmost-first would do just that.
 
 Decoding: ids are cut before tokens that begin with a space or sign, distinct pieces join the vocabulary and an ordered
 aggregation puts their bytes together.
@@ -27,17 +34,19 @@ from pyspark.sql import functions as F
 
 from .common import table, whole_text
 
-DEPTH, LONG, BATCH, KEPT = 16, 64, 40_000, 500_000
+WINDOW, WIDER = 64, 12  # the product holds whole periods of two and three bytes
+DEPTH, ROWS, KEPT = 16, 1 << 18, 500_000
+PIECE = 4096  # ids of a piece for decoding
 
 #: A position is word << 20 | offset, a pair left << 20 | right. Each position knows its right neighbour and what is
 #: there (-1: the word ends), so a contraction drops one row and changes two.
-STEP = f"""
+STEP = """
 WITH RECURSIVE t(step, spot, id, right_spot, right_id) AS (
     SELECT 0, spot, id, right_spot, right_id FROM seed
   UNION ALL (
     WITH b AS (
       SELECT t.spot >> 20 AS w, min((m.id << 20) | (t.spot & 1048575)) AS least, arg_min(t.right_spot, (m.id << 20) | (t.spot & 1048575)) AS gone
-      FROM t JOIN merges m ON m.pair = ((t.id << 20) | t.right_id) WHERE t.step < {DEPTH} AND t.right_id >= 0 GROUP BY t.spot >> 20),
+      FROM t JOIN merges m ON m.pair = ((t.id << 20) | t.right_id) WHERE t.step < $depth AND t.right_id >= 0 GROUP BY t.spot >> 20),
     c AS (
       SELECT b.w, (b.w << 20) | (b.least & 1048575) AS spot, b.least >> 20 AS id, b.gone, r.right_spot, r.right_id
       FROM b JOIN t r ON r.spot = b.gone)
@@ -47,12 +56,12 @@ WITH RECURSIVE t(step, spot, id, right_spot, right_id) AS (
     FROM t JOIN c ON c.w = t.spot >> 20 WHERE t.spot <> c.gone))
 SELECT step, spot, id FROM t
 """
-LONG_STEP = f"""
+LONG_STEP = """
 WITH RECURSIVE t(step, spot, w, id) AS (
     SELECT 0, spot, w, id FROM seed
   UNION ALL (
     WITH n AS (
-      SELECT step, spot, w, id, lead(id) OVER p AS rid, row_number() OVER p AS k FROM t WHERE step < {DEPTH} WINDOW p AS (PARTITION BY w ORDER BY spot)),
+      SELECT step, spot, w, id, lead(id) OVER p AS rid, row_number() OVER p AS k FROM t WHERE step < $depth WINDOW p AS (PARTITION BY w ORDER BY spot)),
     c AS (SELECT n.w, n.k, m.id, m.safe, min(m.id) OVER (PARTITION BY n.w) AS least FROM n JOIN merges m ON m.pair = ((n.id << 20) | n.rid)),
     h AS (SELECT w, k, id, safe, row_number() OVER (PARTITION BY w ORDER BY k) AS nth FROM c WHERE id = least),
     g AS (SELECT w, k, id, safe, nth, row_number() OVER (PARTITION BY w, k - nth ORDER BY k) AS in_run FROM h),
@@ -75,6 +84,23 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+def _parts(keys: list, most: int):
+    """Keys in runs of at most ``most`` characters or bytes, one at least."""
+    lo, held = 0, 0
+    for hi, k in enumerate(keys):
+        if hi > lo and held + len(k) > most:
+            yield keys[lo:hi]
+            lo, held = hi, 0
+        held += len(k)
+    if lo < len(keys):
+        yield keys[lo:]
+
+
+def _windows(lo: int, hi: int, width: int) -> list[tuple[int, int]]:
+    """Spans of ``width`` that overlap by half and cover lo to hi."""
+    return [(a, min(a + width, hi)) for a in range(lo, max(lo + 1, hi - width // 2), width // 2)]
+
+
 class Codec:
     def __init__(self, path: str):
         import duckdb
@@ -88,6 +114,7 @@ class Codec:
         merges = [(ids[t[:i]], ids[t[i:]], k) for t, k in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids]
         unsafe = {x for left, right, k in merges for x in (left, right) if k < x}
         self.decimal = list(map(str, range(len(tokens))))
+        self.size = np.array([len(t) for t in tokens], np.int64)
         self.byte_id = np.array([ids[bytes([b])] for b in range(256)], np.int64)
         # a text may be cut for decoding before any token; before spaces and signs it gives few distinct pieces
         self.cuts = np.array([not (t[:1].isalpha() or t[:1] >= b"\x80") for t in tokens])
@@ -101,16 +128,16 @@ class Codec:
         rows = self.pa.table({k: self.pa.array(v) for k, v in columns.items()})  # noqa: F841  read by name
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM rows")
 
-    def _known(self, kind: int, wanted: set, make) -> dict:
-        """A mapping that has all ``wanted`` keys; new ones are made in batches of ``BATCH``. It is good until the next call."""
+    def _known(self, kind: int, wanted: set, make, weight: int) -> dict:
+        """A mapping that has all ``wanted`` keys; new ones are made in batches of about ``ROWS`` rows (``weight`` bytes
+        of a key each). It is good until the next call."""
         if len(self.young[kind]) > KEPT:
             self.old[kind], self.young[kind] = self.young[kind], {}
         young, old = self.young[kind], self.old[kind]
         missing = wanted.difference(young)
         young.update((k, old[k]) for k in missing.intersection(old))
-        new = list(missing.difference(old))
-        for lo in range(0, len(new), BATCH):
-            young.update(make(new[lo : lo + BATCH]))
+        for part in _parts(sorted(missing.difference(old)), ROWS * weight):
+            young.update(make(part))
         return young
 
     def _forget(self, kind: int, keys, longest: int) -> None:
@@ -119,37 +146,82 @@ class Codec:
             self.young[kind].pop(k, None)
 
     def _contract(self, words: list[str]) -> dict[str, bytes]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        out: dict[str, bytes] = {}
-        for query, own in ((STEP, [i for i, x in enumerate(raw) if len(x) <= LONG]), (LONG_STEP, [i for i, x in enumerate(raw) if len(x) > LONG])):
-            if not own:
-                continue
-            n = np.array([len(raw[i]) for i in own], np.int64)
-            ids = self.byte_id[np.frombuffer(b"".join(raw[i] for i in own), np.uint8)]
-            shift = 20 if query is STEP else 40
-            w = np.repeat(np.arange(len(own), dtype=np.int64), n)
-            at = (w << shift) + np.arange(len(ids), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
-            while len(at):
-                w = at >> shift
-                ends = np.append(w[1:] != w[:-1], True)
-                right = {"right_spot": np.where(ends, -1, np.append(at[1:], -1)), "right_id": np.where(ends, -1, np.append(ids[1:], -1))}
-                self._table("seed", spot=at, w=w, id=ids, **right)
-                got = self.db.execute(query).fetchnumpy()
-                step, at, ids = (np.asarray(got[k]) for k in ("step", "spot", "id"))
-                w = at >> shift
-                last = np.zeros(len(own), step.dtype)
-                np.maximum.at(last, w, step)
-                final = step == last[w]  # a word's state after its last contraction
-                order = np.argsort(at[final], kind="stable")
-                at, ids, w = at[final][order], ids[final][order], w[final][order]
-                open_ = last[w] == DEPTH
-                done_w, done_ids = w[~open_], ids[~open_].astype("<u4")
-                cuts = [0, *(np.flatnonzero(done_w[1:] != done_w[:-1]) + 1).tolist(), len(done_w)] if len(done_w) else []
-                for lo, hi in zip(cuts, cuts[1:]):
-                    out[words[own[done_w[lo]]]] = done_ids[lo:hi].tobytes()
-                at, ids = at[open_], ids[open_]
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
+        short = self._fixpoint([x for x in raw.values() if len(x) <= WINDOW])
+        out = {w: short[x].astype("<u4").tobytes() for w, x in raw.items() if len(x) <= WINDOW}
+        return out | {w: self._joined(x).astype("<u4").tobytes() for w, x in raw.items() if len(x) > WINDOW}
+
+    def _fixpoint(self, raw: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of each byte string by the recursive queries."""
+        out: dict[bytes, np.ndarray] = {}
+        for query, shift, own in ((STEP, 20, [x for x in raw if len(x) <= WINDOW]), (LONG_STEP, 40, [x for x in raw if len(x) > WINDOW])):
+            for part in _parts(own, ROWS):
+                self._run(query, shift, part, out)
         return out
 
+    def _run(self, query: str, shift: int, own: list[bytes], out: dict[bytes, np.ndarray]) -> None:
+        n = np.array([len(x) for x in own], np.int64)
+        ids = self.byte_id[np.frombuffer(b"".join(own), np.uint8)]
+        w = np.repeat(np.arange(len(own), dtype=np.int64), n)
+        at = (w << shift) + np.arange(len(ids), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        while len(at):
+            w = at >> shift
+            ends = np.append(w[1:] != w[:-1], True)
+            right = {"right_spot": np.where(ends, -1, np.append(at[1:], -1)), "right_id": np.where(ends, -1, np.append(ids[1:], -1))}
+            self._table("seed", spot=at, w=w, id=ids, **right)
+            depth = int(min(DEPTH, max(1, DEPTH * ROWS // len(at))))
+            got = self.db.execute(query.replace("$depth", str(depth))).fetchnumpy()
+            step, at, ids = (np.asarray(got[k]) for k in ("step", "spot", "id"))
+            w = at >> shift
+            last = np.zeros(len(own), step.dtype)
+            np.maximum.at(last, w, step)
+            final = step == last[w]  # a word's state after its last contraction
+            order = np.argsort(at[final], kind="stable")
+            at, ids, w = at[final][order], ids[final][order], w[final][order]
+            open_ = last[w] == depth
+            done_w, done_ids = w[~open_], ids[~open_]
+            cuts = [0, *(np.flatnonzero(done_w[1:] != done_w[:-1]) + 1).tolist(), len(done_w)] if len(done_w) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                out[own[done_w[lo]]] = done_ids[lo:hi]
+            at, ids = at[open_], ids[open_]
+
+    def _joined(self, raw: bytes) -> np.ndarray:
+        """Ids of a long word from those of overlapping windows, see the module's text."""
+        width, known = WINDOW, {}
+        spans = _windows(0, len(raw), width)
+        while True:
+            cut = [raw[lo:hi] for lo, hi in spans]
+            known |= self._fixpoint(list(set(cut).difference(known)))
+            out, apart, since = [], set(), 0  # ids so far; spans that don't meet the next one; where the last joint ends
+            for k, (lo, _) in enumerate(spans):
+                ids = known[cut[k]]
+                ends = lo + np.cumsum(self.size[ids])
+                starts = ends - self.size[ids]
+                upto = len(ids)
+                if k + 1 < len(spans):
+                    after = known[cut[k + 1]]
+                    ends_after = spans[k + 1][0] + np.cumsum(self.size[after])
+                    _, here, there = np.intersect1d(ends, ends_after, assume_unique=True, return_indices=True)
+                    same = (ids[here] == after[there]) & (starts[here] >= since)
+                    if not same.any():
+                        apart.add(k)
+                        since = max(since, spans[k + 1][0])
+                        continue
+                    upto = int(here[np.argmax(same)]) + 1
+                out.append(ids[int(np.searchsorted(starts, since)) : upto])
+                since = int(ends[upto - 1])
+            if not apart:
+                return np.concatenate(out)
+            width *= WIDER
+            wider, k = [], 0
+            while k < len(spans):
+                first = k
+                while k in apart:
+                    k += 1
+                wider += _windows(spans[first][0], spans[k][1], width) if k > first else [spans[k]]
+                k += 1
+            spans = wider
+
     def _assemble(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         n = np.array([len(x) // 4 for x in pieces], np.int64)
         ids = np.frombuffer(b"".join(pieces), "<u4").astype(np.int64)
@@ -160,20 +232,22 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.words(t) for t in texts]
         wanted = set().union(*cut)
-        known = self._known(0, wanted, self._contract)
+        known = self._known(0, wanted, self._contract, 1)
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        self._forget(0, wanted, LONG)
+        self._forget(0, wanted, WINDOW)
         return out
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         cut = []
         for raw in encoded:
-            at = [0, *(np.flatnonzero(self.cuts[np.frombuffer(raw, "<u4")[1:]]) * 4 + 4).tolist(), len(raw)] if raw else []
+            may = self.cuts[np.frombuffer(raw, "<u4")]
+            may[::PIECE] = True  # what has no such token is cut as well: the bytes are the same
+            at = [*(np.flatnonzero(may) * 4).tolist(), len(raw)] if raw else []
             cut.append([raw[lo:hi] for lo, hi in zip(at, at[1:])])
         wanted = set().union(*cut)
-        known = self._known(1, wanted, self._assemble)
+        known = self._known(1, wanted, self._assemble, 4)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        self._forget(1, wanted, 4 * LONG)
+        self._forget(1, wanted, 4 * WINDOW)
         return out
 
 

@@ -122,6 +122,45 @@ def test_bpe_sql_long_and_repeated_words():
     assert codec.decode(got) == [t.encode() for t in texts]
 
 
+def test_bpe_sql_words_of_any_length():
+    """Windows are joined exactly, whatever repeats in a word, and a megabyte without a break takes seconds."""
+    import random
+    import time
+
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    codec = bpe_sql.codec(path)
+    whole = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: k for k, t in enumerate(bpe_sql.read_ranks(path)) if t}, special_tokens={})
+    rng = random.Random(3)
+    letters, runs = "abcdefghijklmnopqrstuvwxyz", ["a" * 37, "the", "na", "xyz", "=" * 5, "\u3000", "ab"]
+    cjk = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    texts = ["".join(rng.choices(letters, k=n)) for n in (64, 65, 95, 96, 97, 129, 700, 5000)]
+    texts += [x * n for x in ("a", "ab", "abc", "aab", "the", "=-", "\u3000", " ", "\n", "é") for n in (33, 65, 100, 1001)]
+    texts += ["".join(rng.choices(runs, k=n)) for n in (30, 300, 2000)] + ["".join(rng.choices("ab", k=3000)), cjk(2000)]
+    began = time.time()
+    texts += ["".join(rng.choices(letters, k=1_000_000)), "a" * 1_000_000, cjk(333_333)]
+    got = codec.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() == whole.encode_ordinary(t) for x, t in zip(got, texts)] == [True] * len(texts)
+    assert codec.decode(got) == [t.encode() for t in texts]
+    assert time.time() - began < 240
+
+
+def test_bpe_sql_windows_that_never_meet(monkeypatch):
+    """Neighbours without a common token are contracted again as one."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    codec = bpe_sql.Codec(path)
+    whole = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: k for k, t in enumerate(bpe_sql.read_ranks(path)) if t}, special_tokens={})
+    monkeypatch.setattr(bpe_sql, "WINDOW", 10)  # five bytes on: runs of even tokens don't meet
+    monkeypatch.setattr(bpe_sql, "WIDER", 3)
+    monkeypatch.setattr(bpe_sql, "ROWS", 100)
+    for t in ("a" * 500, "ab" * 300, "mississippi" * 30, "the" * 200, "=" * 401):
+        assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == whole.encode_ordinary(t)
+        assert codec.decode(codec.encode([t])) == [t.encode()]
+
+
 def test_bpe_frames(spark, real):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     back = bpe_sql.decode(bpe_sql.encode(real.limit(5), path), path).collect()
