@@ -1,13 +1,17 @@
 """Supervised subword embeddings (operator 10).
 
-Words, their character n-grams and the word bigram "same word again" are hashed to learned vectors; a document
-is the mean of all these vectors, a softmax layer gives the probability of good quality. Both are trained by plain numpy stochastic
-gradient descent on a bounded sample: the ``SAMPLE`` labelled rows with the smallest id hash (all of them if
-there are fewer), whole texts. Rows held out by the caller never enter.
+Words and character n-grams, those within words and those that reach over the space between two words, are hashed
+to learned vectors; a document is the mean of all these vectors, a softmax layer gives the probability of good
+quality. Both are trained by numpy stochastic gradient descent with steps scaled by each vector's past gradients.
 
-Scoring is linear in a document's words: a worker turns each new word once into the sum of its vectors'
-logits and their number, keeps that in a bounded memo, and adds them up. The model is a fixed-size array
-(``BUCKETS`` floats after folding the output layer in) that travels with the task.
+Training takes a bounded sample: the ``SAMPLE`` labelled rows with the smallest id hash (all of them if there are
+fewer), whole texts, and of these, in that order, as many as have ``FEATURES`` different features together. Texts are
+hashed where they lie, so the driver gets at most ``FEATURES`` bucket numbers and counts. Rows held out by the
+caller never enter.
+
+Scoring is linear in a document's words: a worker turns each new word, and each new pair of word ends that meet, once
+into the sum of its vectors' logits and their number, keeps that in a bounded memo, and adds them up. The model is
+a fixed-size array (``BUCKETS`` floats after folding the output layer in) that travels with the task.
 
 Defined results: a null or empty text has no words and gets the trained bias alone; rows with a null label,
 null id or an id without a document don't train; repeated labels train repeatedly; without any usable label
@@ -18,85 +22,116 @@ from __future__ import annotations
 
 import re
 import zlib
-from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, table, whole_text
+from .common import Memo, stored, table, whole_text
 
 BUCKETS, WIDTH = 1 << 16, 8
 GRAM_LENGTHS = (3, 4)
-EPOCHS, RATE, SEED = 6, 0.5, 5
-SAMPLE = 3000
+EPOCHS, RATE, SEED = 12, 0.2, 5
+SAMPLE, FEATURES = 3000, 12_000_000
 #: Features of no weight that every document has: a very short text stays near the bias.
 SMOOTH = 20
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 def features(word: str) -> list[int]:
     """Buckets of the word itself and of the character n-grams of ``<word>``; long words' n-grams are all used."""
     framed = f"<{word}>"
-    grams = [framed[i : i + n] for n in GRAM_LENGTHS for i in range(len(framed) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (framed, *grams)]
+    return [_bucket(g) for g in (framed, *(framed[i : i + n] for n in GRAM_LENGTHS for i in range(len(framed) - n + 1)))]
+
+
+def across(ends: str) -> list[int]:
+    """Buckets of the n-grams (two to four characters) that hold the space of "last two characters, space, first two"."""
+    at = ends.index(" ")
+    return [_bucket(ends[i:j]) for i in range(max(0, at - 2), at + 1) for j in range(at + 1, len(ends) + 1) if 2 <= j - i <= 4]
 
 
-#: The bigram of a word that follows itself, whatever the word.
-AGAIN = zlib.crc32(b"= =") % BUCKETS
+def joints(words: list[str]) -> list[str]:
+    """The two ends that meet between each two words."""
+    return [f"{a[-2:]} {b[:2]}" for a, b in zip(words, words[1:])]
 
 
-def again(words: list[str]) -> int:
-    """How many words equal the word before."""
-    return sum(map(eq, words, words[1:]))
+Docs = list[tuple[np.ndarray, np.ndarray]]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(logit of each bucket, bias): the two-class softmax's difference, the output layer folded in."""
-    if not texts:
+def train(docs: Docs, labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """(logit of each bucket, bias): the two-class softmax's difference, the output layer folded in. docs: buckets and counts."""
+    if not docs:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
-    output, bias = np.zeros((2, WIDTH)), np.log(np.bincount(labels, minlength=2) + 1.0)
-    memo = Memo(lambda w: np.array(features(w), np.int64))
+    output, bias = np.zeros((2, WIDTH)), np.zeros(2)
+    past_vectors, past_output = np.full(BUCKETS, 1e-8), 1e-8  # squared gradients so far
     # classes weigh alike in the loss: the rare one is not drowned out
-    weight = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
-    bias -= np.log(weight.sum() / weight)
-    docs = []
-    for text in texts:
-        words = _WORDS(text)
-        own = [memo[w] for w in words] + [np.full(again(words), AGAIN)]
-        buckets, counts = np.unique(np.concatenate(own).astype(np.int64), return_counts=True)
-        docs.append((buckets, counts / (counts.sum() + SMOOTH)))
+    weight = np.minimum(len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1)), 10)
+    shares = [counts / (counts.sum() + SMOOTH) for _, counts in docs]
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)).tolist():
-            (at, share), y = docs[k], labels[k]
+            at, share, y = docs[k][0], shares[k], labels[k]
+            step = rate * (1 - done / steps)
             hidden = share @ vectors[at]
             z = output @ hidden + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1
-            p *= weight[y] * rate * (1 - done / steps)
+            p *= weight[y]
             back = p @ output
-            output -= np.outer(p, hidden)
-            bias -= 0.1 * p
-            # the mean spreads a step over all of a document's n-grams; the scale gives it back
-            vectors[at] -= np.outer(share * min(len(at), 200), back)
+            change = np.outer(p, hidden)
+            past_output += float((change * change).sum())
+            output -= step * change / np.sqrt(past_output)
+            bias -= 0.05 * step * p
+            past_vectors[at] += share * share * float(back @ back)
+            vectors[at] -= step * np.outer(share / np.sqrt(past_vectors[at]), back)
             done += 1
     difference = output[1] - output[0]
     return (vectors @ difference).astype(np.float32), float(bias[1] - bias[0])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``sample`` labelled texts and their labels, in the order of an id hash."""
-    chosen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+def hashed(text: str, words: Memo, ends: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending buckets of a text's features and how often each occurs."""
+    counts: dict[int, int] = {}
+    own = _WORDS(text)
+    for memo, keys in ((words, own), (ends, joints(own))):
+        for key in keys:
+            for f in memo[key]:
+                counts[f] = counts.get(f, 0) + 1
+    at = np.array(sorted(counts), np.int32)
+    return at, np.array([counts[f] for f in at.tolist()], np.int32)
+
+
+def _hash(batches):
+    import pyarrow as pa
+
+    words, ends = Memo(features), Memo(across)
+    for batch in batches:
+        got = [hashed(x.as_py(), words, ends) for x in batch.column("text")]
+        lists = [pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *lists], names=["doc_id", "quality", "buckets", "counts"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple[Docs, list[int]]:
+    """Hashed texts and labels of at most ``sample`` labelled rows with at most ``most`` features, in the order of an id hash."""
+    chosen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("quality"))
     # ids are picked before texts are touched; twice as many, as some may have no document
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(2 * sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text").limit(sample)
-    got = rows.select("text", "quality").collect()  # bounded by ``sample``
-    return [r.text for r in got], [int(r.quality != 0) for r in got]
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = rows.mapInArrow(_hash, "doc_id long, quality int, buckets array<int>, counts array<int>")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"), F.col("buckets"), F.col("counts")]
+    rows = stored(rows, "labelled").orderBy(*order).limit(sample)  # one order over ``sample`` rows
+    upto = F.sum(F.size("buckets")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= most).orderBy(*order).select("quality", "buckets", "counts").toArrow()
+    lists = [[x.values.to_numpy() for x in got.column(c).combine_chunks()] if got.num_rows else [] for c in ("buckets", "counts")]
+    return list(zip(*lists)), got.column("quality").to_pylist()
 
 
 def held_out(doc_id="doc_id"):
@@ -108,17 +143,15 @@ def _score(logits: np.ndarray, bias: float):
     def run(batches):
         import pyarrow as pa
 
-        def weigh(word: str) -> complex:  # real: sum of logits, imaginary: number of features
-            own = features(word)
+        def weigh(own: list[int]) -> complex:  # real: sum of logits, imaginary: number of features
             return complex(float(logits[own].sum()), len(own))
 
-        memo = Memo(weigh)
+        words, ends = Memo(lambda w: weigh(features(w))), Memo(lambda e: weigh(across(e)))
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                words = _WORDS(text.as_py())
-                repeats = again(words)
-                total = sum(map(memo.__getitem__, words), complex(repeats * float(logits[AGAIN]), repeats))
+                own = _WORDS(text.as_py())
+                total = sum(map(ends.__getitem__, joints(own)), sum(map(words.__getitem__, own), 0j))
                 out.append(bias + total.real / (total.imag + SMOOTH))
             score = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -60, 60)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])

@@ -243,7 +243,10 @@ def test_classifier(spark, odd, nothing):
     by_text = {}
     for i, t in ODD:
         words = WORD.findall(t or "")
-        own = [f for w in words for f in quality_classifier.features(w)] + [quality_classifier.AGAIN] * quality_classifier.again(words)
+        own = [f for w in words for f in quality_classifier.features(w)]
+        for a, b in zip(words, words[1:]):
+            text, at = a + " " + b, len(a)
+            own += [quality_classifier._bucket(text[i:j]) for i in range(at - 2, at + 1) for j in range(at + 1, at + 4) if 0 <= i and j <= len(text) and 2 <= j - i <= 4]
         z = model[1] + float(model[0][own].astype(float).sum()) / (len(own) + quality_classifier.SMOOTH)
         by_text.setdefault(i, []).append(1 / (1 + np.exp(-z)))
     for r in got:
@@ -253,6 +256,57 @@ def test_classifier(spark, odd, nothing):
     assert {r.score for r in quality_classifier.score(odd, empty_fit).collect()} == {0.5}
 
 
+def test_training_by_definition():
+    """Softmax on the mean vector: gradients by finite differences, steps scaled by past squared gradients."""
+    q = quality_classifier
+    rng = np.random.default_rng(4)
+    docs = [(np.sort(rng.choice(q.BUCKETS, 5, replace=False)), rng.integers(1, 5, 5)) for _ in range(6)]
+    labels = [0, 1, 1, 1, 0, 1]
+    logits, bias = q.train(docs, labels, epochs=2, rate=0.3, seed=9)
+    rng = np.random.default_rng(9)
+    V, O, b = rng.uniform(-1 / q.WIDTH, 1 / q.WIDTH, (q.BUCKETS, q.WIDTH)), np.zeros((2, q.WIDTH)), np.zeros(2)
+    past_v, past_o, done, weight = collections.defaultdict(lambda: 1e-8), 1e-8, 0, [6 / 4, 6 / 8]
+    for _ in range(2):
+        for k in rng.permutation(6):
+            at, counts = docs[k]
+            share = counts / (counts.sum() + q.SMOOTH)
+
+            def loss(rows, out, bias_, y=labels[k], share=share):
+                z = out @ (share @ rows) + bias_
+                return weight[y] * (np.log(np.exp(z).sum()) - z[y])
+
+            def slope(f, x):
+                g = np.zeros_like(x)
+                for i in np.ndindex(x.shape):
+                    up, down = x.copy(), x.copy()
+                    up[i] += 1e-6
+                    down[i] -= 1e-6
+                    g[i] = (f(up) - f(down)) / 2e-6
+                return g
+
+            rows = V[at]
+            gv, go, gb = slope(lambda x: loss(x, O, b), rows), slope(lambda x: loss(rows, x, b), O), slope(lambda x: loss(rows, O, x), b)
+            step = 0.3 * (1 - done / 12)
+            past_o += (go**2).sum()
+            O, b = O - step * go / np.sqrt(past_o), b - 0.05 * step * gb
+            for i, f in enumerate(at):
+                past_v[f] += (gv[i] ** 2).sum()
+                V[f] -= step * gv[i] / np.sqrt(past_v[f])
+            done += 1
+    assert np.allclose(logits, V @ (O[1] - O[0]), atol=1e-4) and abs(bias - (b[1] - b[0])) < 1e-4
+
+
+def test_training_rows_are_bounded(spark):
+    """Rows and features that reach the driver, with a very long labelled text among them."""
+    docs = spark.createDataFrame([(k, f"word{k} " * 20) for k in range(40)] + [(99, " ".join(f"w{i}" for i in range(200_000)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(99, 1), (5, None), (None, 1), (1000, 0)], "doc_id long, quality int")
+    rows, said = quality_classifier.training_rows(docs, labels)
+    assert len(rows) == len(said) == 41 and max(len(at) for at, _ in rows) > 10_000
+    assert len(quality_classifier.training_rows(docs, labels, sample=7)[0]) == 7
+    few, _ = quality_classifier.training_rows(docs, labels, most=300)
+    assert 0 < len(few) < 41 and sum(len(at) for at, _ in few) <= 300
+
+
 def test_sharding(spark, odd, nothing, real):
     for docs in (odd, nothing, real):
         got = sharding.shard_rows(docs).collect()
