@@ -96,6 +96,67 @@ def test_local_search_saves_bins():
     assert fill(better) >= fill(start) and len(better) <= len(start) and max(sum(sizes[i] for i in b) for b in better) <= 4096
 
 
+def fewest_bins(sizes, capacity):
+    """By trying everything."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for i, r in enumerate(rooms):
+            if r >= sizes[k] and r not in rooms[:i]:
+                place(k + 1, rooms[:i] + [r - sizes[k]] + rooms[i + 1 :])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_local_search_against_the_optimum():
+    rng = np.random.default_rng(2)
+    found, least, first = 0, 0, 0
+    for _ in range(60):
+        sizes = rng.integers(3, 30, 11).tolist()
+        start = packing.best_fit(sizes, 40)
+        got = packing.improve(sizes, start, 40)
+        assert sorted(i for b in got for i in b) == list(range(11)) and max(sum(sizes[i] for i in b) for b in got) <= 40
+        best = fewest_bins(sizes, 40)
+        assert best <= len(got) <= len(start)
+        found, least, first = found + len(got), least + best, first + len(start)
+    assert found - least <= max(1, (first - least) // 2)
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 4097), (700, 1500), (1300, 2048), (2049, 4097), (1500, 1501)])
+def test_search_raises_squared_fill(low, high):
+    sizes = np.random.default_rng(low).integers(low, high, 400).tolist()
+    start = packing.best_fit(sizes, 4096)
+    search = packing.Search(sizes, start, 4096)
+    squares = lambda bins: sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+    steps = 0
+    for k in range(len(search.bins)):
+        before = squares([*search.full, *search.bins])
+        if search.relieve(k):
+            steps += 1
+            assert squares([*search.full, *search.bins]) > before
+            assert (search.room >= 0).all() and [4096 - sum(sizes[i] for i in b) for b in search.bins] == search.room.tolist()
+    assert steps or low != 700
+    bins = packing.improve(sizes, start, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(400)) and len(bins) <= len(start) and squares(bins) >= squares(start)
+
+
+def test_groups_are_mended(spark):
+    """Many small groups, then their open bins together: as few sequences as the tokens allow."""
+    rng = np.random.default_rng(1)
+    rows = [(k, 0, 0, int(n), 0) for k, n in enumerate(rng.integers(1, 900, 3000))]
+    pieces = stored(spark.createDataFrame(rows, packing.PIECES), "pieces")
+    got = packing.pack(pieces, group=200).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == [(r[0], r[3]) for r in rows]
+    assert check_packed(got, 4096) <= -(-sum(r[3] for r in rows) // 4096) + 1
+
+
 def test_bpe_sql(spark, odd, nothing, real):
     import tiktoken
 
