@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MIN = -(2**63)
+PART_BYTES = 32 << 20  # of input, for one ordered bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder: what the session names in ``spark.checkpoint.dir``, else a temporary one (tests)."""
+    """The shared folder: what the session names in ``spark.checkpoint.dir``; a temporary one for local sessions (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="lodestone-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -101,10 +104,18 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine).cast("int")
 
 
-def ordered_buckets(df: DataFrame, key: Column, per_partition: int = 4) -> tuple[Column, int, list[int]]:
-    """A column with each row's bucket in ascending order of ``key``, the partitions to use, and the bounds."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = id_bounds(df, key, per_partition * parts)
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files (or local rows) that a plan reads, as far as they are known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def ordered_buckets(df: DataFrame, key: Column) -> tuple[Column, int, list[int]]:
+    """A column with each row's bucket in ascending order of ``key``, how many buckets there may be, and the bounds. Buckets
+    are meant as partitions (``repartitionById``): at least the session's number, more where the input is large."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // PART_BYTES))
+    bounds = id_bounds(df, key, parts)
     return bucket_of(key, bounds), parts, bounds
 
 

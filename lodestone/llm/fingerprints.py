@@ -259,7 +259,7 @@ def next_and_edited(docs: DataFrame, rank: dict[int, np.ndarray]) -> DataFrame:
     own = place(bucket, 0)
     at = F.when(key == F.lit(first), F.array(own, place(F.lit(len(bounds)), 1))).when(key.isin(bounds), F.array(own, place(bucket - 1, 1))) if bounds else F.when(key == F.lit(first), F.array(own, place(F.lit(0), 1)))
     rows = docs.select(F.explode(at.otherwise(F.array(own))).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.select("at.bucket", "at.guest", "doc_id", "text").repartition(parts, "bucket")
+    rows = rows.select("at.bucket", "at.guest", "doc_id", "text").repartitionById(parts, "bucket")
     rows = rows.sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "text")
     return rows.mapInArrow(_pairs(rank), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

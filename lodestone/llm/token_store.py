@@ -82,7 +82,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     key = order_key()
     bucket, parts, _ = ordered_buckets(docs, key)
     rows = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionById(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
     rows.mapInArrow(_encode(vocabulary, kind, end_id), SCHEMA).write.options(**LAYOUT).partitionBy("bucket").parquet(path)
 
 
