@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Graph, empty, predicate_struct, union_all
+from .graph import Graph, empty, union_all
 from .model import Rule, RuleSet, check_rule
 from .parser import parse_body, parse_rules
 from .plans.compile import Compiler, Rows
-from .plans.fixpoint import run_loop, run_once
+from .plans.fixpoint import rounds, run_loop, run_once
 from .plans.stratify import desugar, levels, steps, strata
 from .storage import Scratch
 from .terms import Cell
@@ -87,7 +87,7 @@ class RuleEngine:
 
     def evaluate_with_provenance(self, graph: Graph, inplace: bool = True) -> tuple[Graph, DataFrame]:
         """The graph and (s, p, o, rule, stratum): each rule that derives a triple in the round it is first new. All rules
-        of a stratum see the same triples in a round, so this runs round by round over whole rules."""
+        of a stratum see the same triples in a round."""
         spark = graph.spark
         scratch = Scratch(spark)
         whole = graph.copy()
@@ -96,28 +96,23 @@ class RuleEngine:
         compiler_for = self._compilers(spark, scratch)
         records: list[DataFrame] = []
         for k, own in enumerate(strata(self.rules)):
-            for _ in range(self.max_iterations):
-                made = []
-                for i in own:
-                    compiler = compiler_for(self.rules[i], whole)
-                    for p, f in compiler.head(self.rules[i], compiler.body(self.rules[i].body)):
-                        pc = F.col("p") if p is None else predicate_struct(p)
-                        df = f.df.select(Cell(f.s_type, F.col("s")).struct().alias("s"), pc.alias("p"), Cell(f.o_type, F.col("o")).struct().alias("o"))
-                        made.append(df.withColumns({"rule": F.lit(i), "stratum": F.lit(k)}))
-                if not made:
-                    break
-                new = union_all(made).distinct().join(whole.triples(False), ["s", "p", "o"], "left_anti")
-                new = scratch.keep(new.select("s", "p", "o", "rule", "stratum"))
-                if new.isEmpty():
-                    break
-                records.append(new)
-                whole.loose.append(new.select("s", "p", "o").distinct())
+            for new in rounds({i: self.rules[i] for i in own}, whole, None, compiler_for, scratch, self.max_iterations):
+                records.append(new.select("s", "p", "o", "rule", F.lit(k).alias("stratum")))
         log = union_all(records) if records else empty(spark).withColumns({"rule": F.lit(0), "stratum": F.lit(0)})
         if inplace:
             graph.fragments, graph.loose = whole.fragments, whole.loose
             return graph, log
         return whole, log
 
+    def extend(self, graph: Graph, new: DataFrame) -> DataFrame:
+        """What follows from general triples ``new`` (s, p, o) together with ``graph``, to which rules without negation were
+        applied before: only derivations that use something new are looked at. ``graph`` gets ``new`` and the results."""
+        scratch = Scratch(graph.spark)
+        graph.loose.append(new)
+        made = rounds(dict(enumerate(self.rules)), graph, new, self._compilers(graph.spark, scratch), scratch, self.max_iterations)
+        found = [r.select("s", "p", "o").distinct() for r in made]
+        return union_all(found) if found else empty(graph.spark)
+
     def solve(self, body, graph: Graph) -> Rows:
         """Solutions of a body (elements, or ``{ ... }`` text) over a graph."""
         if isinstance(body, str):
@@ -127,7 +122,9 @@ class RuleEngine:
     def select(self, body, graph: Graph, **columns: str) -> DataFrame:
         """Distinct native values: name="variable" or name="variable:spark type"; IRIs of table rows become their keys."""
         rows = self.solve(body, graph)
-        return native(rows, columns).distinct()
+        out = native(rows, columns)
+        # solutions that differ in a key that is all there are different rows already
+        return out if rows.key is not None and rows.key <= _kept(rows, columns) else out.distinct()
 
 
 def native(rows: Rows, columns: dict[str, str]) -> DataFrame:
@@ -140,6 +137,17 @@ def native(rows: Rows, columns: dict[str, str]) -> DataFrame:
     return rows.df.select(*out)
 
 
+def _kept(rows: Rows, columns: dict[str, str]) -> set[str]:
+    """Variables whose different values are different in the result."""
+    out = set()
+    for spec in columns.values():
+        v, _, kind = spec.partition(":")
+        t = rows.cells[v][1]
+        if t is not None and kind in ("", t.native) and not t.native.startswith("timestamp"):
+            out.add(v)
+    return out
+
+
 def _new(derived: Graph, graph: Graph) -> Graph:
     """Derived triples that the graph doesn't have; predicates it can't have are left as they are."""
     out = Graph(graph.spark)
@@ -164,7 +172,11 @@ def relation(graph: Graph, predicate: str, s: str = "", o: str = "", names: tupl
     """A predicate's distinct pairs as native values; s and o name Spark types ("" for text)."""
     df, ts, to = graph.pairs(predicate)
     rows = Rows(df, {"s": ("s", ts), "o": ("o", to)})
-    return native(rows, {names[0]: f"s:{s}" if s else "s", names[1]: f"o:{o}" if o else "o"}).distinct()
+    columns = {names[0]: f"s:{s}" if s else "s", names[1]: f"o:{o}" if o else "o"}
+    found = graph.scan(predicate)
+    out = native(rows, columns)
+    once = len(found) == 1 and found[0].unique and (_kept(rows, columns) == {"s", "o"} or found[0].source is not None and "s" in _kept(rows, columns))
+    return out if once else out.distinct()
 
 
 def evaluate_rules(rule_set: RuleSet | str, graph: Graph, inplace: bool = True, max_iterations: int = 1000) -> Graph:

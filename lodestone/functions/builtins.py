@@ -5,6 +5,7 @@ A null argument makes the result null unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -26,6 +27,7 @@ class Context:
     rule: str = ""
     row: list[Column] = field(default_factory=list)  # text of the bound variables
     site: int = 0
+    pattern_checked: bool = False  # the regular expression at hand is a constant that compiles
 
     def seed(self) -> Column:
         """A text that differs for each rule, call site and row, and never between evaluations."""
@@ -152,14 +154,37 @@ def _pattern(cell: Cell, flags: Cell | None) -> Column:
     return F.concat(prefix, named)
 
 
+def compiles(spark, pattern: str, flags: str = "", replacement: str = "") -> bool:
+    """Whether a constant regular expression is one, and has the groups that a replacement names."""
+    from py4j.protocol import Py4JJavaError
+
+    keep = re.sub("[^ims]", "", flags)
+    named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern))
+    try:
+        groups = spark._jvm.java.util.regex.Pattern.compile(f"(?{keep}){named}" if keep else named).matcher("").groupCount()
+    except Py4JJavaError:
+        return False
+    return all(int(k) <= groups for k in re.findall(r"\\(\d)", replacement))
+
+
+def _safe(pattern: Column, value: Column, c) -> Column:
+    """``value``, or an error where ``pattern`` isn't a regular expression. Patterns known while planning were checked then."""
+    if c.pattern_checked:
+        return value
+    known = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), pattern, F.lit(""))
+    return F.when(known.isNotNull(), value)
+
+
 def _regex(a, c):
-    return truth(F.rlike(a[0].v, _pattern(a[1], a[2] if len(a) > 2 else None)))
+    pattern = _pattern(a[1], a[2] if len(a) > 2 else None)
+    return truth(_safe(pattern, F.rlike(a[0].v, pattern), c))
 
 
 def _replace(a, c):
     # \1 is written $1, and a dollar sign stands for itself
     to = F.regexp_replace(F.regexp_replace(a[2].v, r"\$", r"\\\$"), r"\\(\d)", r"\$$1")
-    return plain(F.regexp_replace(a[0].v, _pattern(a[1], a[3] if len(a) > 3 else None), to))
+    pattern = _pattern(a[1], a[3] if len(a) > 3 else None)
+    return plain(_safe(pattern, F.regexp_replace(a[0].v, pattern, to), c))
 
 
 def _abs(a, c):

@@ -41,31 +41,34 @@ def whole(cell: Cell) -> Column:
     return F.when((cell.part("k") == LITERAL) & cell.part("dt").isin(*INTEGERS), cell.part("v").try_cast("decimal(38,0)"))
 
 
-def boolean(cell: Cell) -> Column:
-    """Effective boolean value; an error counts as false, so it is never null."""
+def holds(cell: Cell) -> Column:
+    """Effective boolean value for a place where null and false mean the same (a filter, a join's condition): bare tests, so
+    comparisons of columns reach the source."""
     t = cell.type
     if t is not None:
         if t.kind != LITERAL:
             return F.lit(False)
         if t.dt == BOOLEAN:
-            yes = cell.col if t.native == "boolean" else F.lower(cell.v).isin("true", "1")
-        elif t.dt in _TRUTH_NUMBERS:
-            yes = (number(cell) != 0) & ~F.isnan(number(cell))
-        elif t.dt in ("", STRING):
-            yes = F.length(cell.v) > 0
-        else:
-            return F.lit(False)
-        return F.coalesce(yes, F.lit(False))
+            return cell.col if t.native == "boolean" else F.lower(cell.v).isin("true", "1")
+        if t.dt in _TRUTH_NUMBERS:
+            return (number(cell) != 0) & ~F.isnan(number(cell))
+        if t.dt in ("", STRING):
+            return F.length(cell.v) > 0
+        return F.lit(False)
     dt, v = cell.part("dt"), cell.part("v")
     value = v.try_cast("double")
-    yes = (
+    return (
         F.when(cell.part("k") != LITERAL, False)
         .when(dt == BOOLEAN, F.lower(v).isin("true", "1"))
         .when(dt.isin(*_TRUTH_NUMBERS), (value != 0) & ~F.isnan(value))
         .when(dt.isin("", STRING), F.length(v) > 0)
         .otherwise(False)
     )
-    return F.coalesce(yes, F.lit(False))
+
+
+def boolean(cell: Cell) -> Column:
+    """Effective boolean value; an error counts as false, so it is never null."""
+    return F.coalesce(holds(cell), F.lit(False))
 
 
 def _both_known(a: Cell, b: Cell) -> bool:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .model import RDF_TYPE
 from .terms import BOOLEAN, DATETIME, DOUBLE, INTEGER, LITERAL, TERM, URI, Cell, Type, as_type, row_of, unified
 
+_WHOLE = ("int", "bigint", "smallint", "tinyint")
 _NATIVE = {
     "int": ("bigint", INTEGER), "bigint": ("bigint", INTEGER), "smallint": ("bigint", INTEGER), "tinyint": ("bigint", INTEGER),
     "double": ("double", DOUBLE), "float": ("double", DOUBLE), "boolean": ("boolean", BOOLEAN), "timestamp": ("timestamp", DATETIME), "timestamp_ntz": ("timestamp_ntz", DATETIME),
@@ -33,6 +34,7 @@ class Fragment:
     o_type: Type | None
     source: object = None  # fragments of one source have one row for each subject
     constant: str | None = None  # an IRI that is every row's object
+    unique: bool = False  # no pair of subject and object occurs twice
 
     def pairs(self) -> DataFrame:
         got = self.df.select(self.s.alias("s"), self.o.alias("o"))
@@ -53,8 +55,9 @@ def predicate_struct(iri: str) -> Column:
 
 @dataclass
 class Table:
-    """How a table's rows become triples. key: columns of the subject (all columns' hash if empty); links: column -> class
-    of the rows its values name."""
+    """How a table's rows become triples. key: columns of the subject (a digest of all columns if empty); unique: no two
+    rows have the same key; links: column -> class of the rows its values name. Rows with a null in the key have
+    no subject and so no triples; rows of equal content have one subject where there is no key."""
 
     df: DataFrame
     name: str
@@ -62,6 +65,20 @@ class Table:
     links: dict[str, str] = field(default_factory=dict)
     namespace: str = "http://example.org/"
     skip: tuple[str, ...] = ()
+    unique: bool = False
+
+
+def _escaped(c: str, kind: str) -> Column:
+    """A part of a key as text without the sign that separates parts."""
+    text = F.col(c).cast("string")
+    return F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")) if kind not in _WHOLE else text
+
+
+def row_digest(columns: list[str]) -> Column:
+    """Of all columns, nulls and the lengths of the others' texts included."""
+    texts = [F.col(c).cast("string") for c in columns]
+    parts = [F.when(t.isNotNull(), F.concat(F.length(t).cast("string"), F.lit(":"), t)).otherwise(F.lit("-")) for t in texts]
+    return F.sha2(F.concat_ws(",", *parts), 256)
 
 
 class Graph:
@@ -108,12 +125,13 @@ class Graph:
             key = F.col(table.key[0]).cast(_NATIVE.get(kinds[table.key[0]], ("string", ""))[0])
             native = _NATIVE.get(kinds[table.key[0]], ("string", ""))[0]
         elif table.key:
-            key, native = F.concat_ws("/", *table.key), "string"
+            parts = [_escaped(c, kinds[c]) for c in table.key]
+            key, native = F.concat(*[x for p in parts for x in (F.lit("/"), p)][1:]), "string"
         else:
-            key, native = F.xxhash64(*[c for c in df.columns]), "bigint"
+            key, native = row_digest(df.columns), "string"
         subject = Type(URI, template=f"{ns}{table.name}/", native=native)
-        source = object()
-        self.add(RDF_TYPE, Fragment(df, key, F.lit(f"{ns}{table.name.capitalize()}"), subject, Type(URI), source, f"{ns}{table.name.capitalize()}"))
+        source = object() if table.unique or not table.key else None
+        self.add(RDF_TYPE, Fragment(df, key, F.lit(f"{ns}{table.name.capitalize()}"), subject, Type(URI), source, f"{ns}{table.name.capitalize()}", table.unique))
         for c, kind in df.dtypes:
             if c in table.skip or kind not in _NATIVE:
                 continue
@@ -123,9 +141,7 @@ class Graph:
                 o_type = Type(URI, template=f"{ns}{table.links[c]}/", native=native)
             else:
                 o_type = Type(LITERAL, dt, native=native)
-                if native == "double":
-                    value = value + F.lit(0.0)  # -0.0 and 0.0 are one number
-            self.add(f"{ns}{c}", Fragment(df, key, value, subject, o_type, source))
+            self.add(f"{ns}{c}", Fragment(df, key, value, subject, o_type, source, unique=table.unique))
         return self
 
     # reading

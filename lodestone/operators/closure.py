@@ -1,4 +1,4 @@
-"""Transitive closure of a relation by doubling."""
+"""Transitive closure of a relation: all of it by doubling, or what is reached from one end."""
 
 from __future__ import annotations
 
@@ -40,3 +40,25 @@ def closure(pairs: DataFrame, scratch: Scratch, max_iterations: int = 1000) -> D
     for r in rounds[1:]:
         known = known.unionByName(r)
     return known
+
+
+def reach(first: DataFrame, pairs: DataFrame, scratch: Scratch, max_iterations: int = 1000) -> DataFrame:
+    """All (s, o) that continue ``first`` by any number of steps of ``pairs``: a frontier search that never looks at what
+    isn't reached."""
+    delta = scratch.keep(first.select("s", "o").distinct())
+    rounds = [delta]
+    for _ in range(max_iterations):
+        known = rounds[0]
+        for r in rounds[1:]:
+            known = known.unionByName(r)
+        delta = scratch.keep(compose(delta, pairs).distinct().join(known, ["s", "o"], "left_anti"))
+        if delta.isEmpty():
+            return known
+        rounds.append(delta)
+        if len(rounds) > 8:
+            whole = rounds[0]
+            for r in rounds[1:-1]:
+                whole = whole.unionByName(r)
+            rounds = [scratch.keep(whole), delta]
+    warnings.warn(f"path stopped after {max_iterations} rounds", RuntimeWarning, stacklevel=2)
+    return known.unionByName(delta)

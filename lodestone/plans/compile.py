@@ -12,14 +12,14 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.builtins import BUILTINS, CASTS, Context
-from ..functions.values import apply, boolean
+from ..functions.builtins import BUILTINS, CASTS, Context, compiles
+from ..functions.values import apply, boolean, equal, holds
 from ..graph import Fragment, Graph, merged, union_all
 from ..model import (
     IRI, Alternative, Bind, Blank, Call, Exists, Filter, Inverse, Literal, Negated, Not, Op, Repeat, Rule, Sequence, Triple, TripleTerm,
     Var, variables,
 )
-from ..operators.closure import closure, compose
+from ..operators.closure import closure, compose, reach
 from ..storage import Scratch
 from ..terms import BNODE, Cell, Type, as_type, constant, equal_terms, error, row_of, truth, unified
 
@@ -32,11 +32,12 @@ def fresh() -> str:
 
 @dataclass
 class Rows:
-    """Solutions: a frame and, for each bound variable, its column and type."""
+    """Solutions: a frame and, for each bound variable, its column and type (columns are never null)."""
 
     df: DataFrame
     cells: dict[str, tuple[str, Type | None]] = field(default_factory=dict)
     unit: bool = False  # the one empty solution
+    key: frozenset[str] | None = None  # variables that no two solutions agree on, where such are known
 
     def cell(self, v: str) -> Cell:
         name, t = self.cells[v]
@@ -112,7 +113,7 @@ class Compiler:
                         star.append(t)
                         objects.add(o)
                 todo = [t for t in todo if not any(t is x for x in star)]
-            rows = self.join(rows, self.star(star) if len(star) > 1 else self.pattern(first))
+            rows = self.join(rows, self.star(star) if len(star) > 1 else self.pattern(first, rows))
         return rows
 
     def one_table(self, t: Triple):
@@ -139,7 +140,8 @@ class Compiler:
         df = fragments[0].df.select(*picked)
         for test in [F.col(columns[s][0]).isNotNull(), *tests]:
             df = df.where(test)
-        return Rows(df.select(*[n for n, _ in columns.values()]), columns)
+        key = frozenset([s]) if all(f.unique for f in fragments) else None
+        return Rows(df.select(*[n for n, _ in columns.values()]), columns, key=key)
 
     def is_constant(self, cell: Cell, term) -> Column:
         """Equality with a ground term, on the typed column wherever that is possible."""
@@ -166,16 +168,22 @@ class Compiler:
 
         return [f for f in fragments if can(f.s_type, t.subject) and can(f.o_type, t.object, f.constant)]
 
-    def pattern(self, t: Triple) -> Rows:
+    def pattern(self, t: Triple, rows: Rows | None = None) -> Rows:
         if isinstance(t.predicate, Var):
             return self.any_predicate(t)
+        key = None
         if id(t) in self.instead:
             df, s, o = merged(self.spark, [self.instead[id(t)]])
         elif isinstance(t.predicate, IRI):
-            df, s, o = merged(self.spark, self.matching(self.graph.scan(t.predicate.value), t))
+            found = self.matching(self.graph.scan(t.predicate.value), t)
+            df, s, o = merged(self.spark, found)
+            if len(found) == 1 and found[0].unique:
+                key = frozenset(v for v in map(self.variable, (t.subject, t.object)) if v)
+                if found[0].source is not None and self.variable(t.subject):
+                    key = frozenset([self.variable(t.subject)])
         else:
-            df, s, o = self.path(t.predicate, t.subject, t.object)
-        return self.bound(df, [(t.subject, "s", s), (t.object, "o", o)])
+            df, s, o = self.path(t.predicate, t.subject, t.object, rows)
+        return replace(self.bound(df, [(t.subject, "s", s), (t.object, "o", o)]), key=key)
 
     def bound(self, df: DataFrame, places) -> Rows:
         """Constants become filters, variables columns, a variable met twice an equality."""
@@ -204,7 +212,8 @@ class Compiler:
 
     # paths: relations of (s, o), as sets
 
-    def path(self, path, subject=None, obj=None) -> tuple[DataFrame, Type | None, Type | None]:
+    def path(self, path, subject=None, obj=None, rows: Rows | None = None) -> tuple[DataFrame, Type | None, Type | None]:
+        """subject, obj: the ends, where they are at hand; rows: solutions so far, whose values bound ends have."""
         match path:
             case IRI(value):
                 return merged(self.spark, self.graph.scan(value))
@@ -234,18 +243,48 @@ class Compiler:
                 df, s, o = self.path(inner)
                 if s != o:
                     df, s, o = df.select(Cell(s, F.col("s")).struct().alias("s"), Cell(o, F.col("o")).struct().alias("o")), None, None
-                if not once:
+                starts, stops = (x is not None and self.variable(x) is None for x in (subject, obj))
+                if not once and starts:
+                    df = reach(df.where(self.is_constant(Cell(s, F.col("s")), subject)), df, self.scratch, self.max_iterations)
+                elif not once and stops:
+                    turned = df.select(F.col("o").alias("s"), F.col("s").alias("o"))
+                    df = reach(turned.where(self.is_constant(Cell(s, F.col("s")), obj)), turned, self.scratch, self.max_iterations)
+                    df = df.select(F.col("o").alias("s"), F.col("s").alias("o"))
+                elif not once:
                     df = closure(df, self.scratch, self.max_iterations)
                 if least == 0:
-                    df = df.select(Cell(s, F.col("s")).struct().alias("s"), Cell(o, F.col("o")).struct().alias("o"))
-                    ends = [x for x in (subject, obj) if x is not None and self.variable(x) is None]
-                    nodes = self.graph.nodes()
-                    if ends:
-                        nodes = nodes.unionByName(self.spark.range(1).select(F.explode(F.array(*[constant(x).struct() for x in ends])).alias("n")))
-                    df, s, o = df.unionByName(nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))), None, None
+                    same, t = self.identity(subject, obj, rows, s)
+                    df = df.select(as_type(Cell(s, F.col("s")), t).alias("s"), as_type(Cell(o, F.col("o")), t).alias("o"))
+                    df, s, o = df.unionByName(same.select(F.col("n").alias("s"), F.col("n").alias("o"))), t, t
                 return df.distinct(), s, o
         raise TypeError(f"not a path: {path!r}")
 
+    def identity(self, subject, obj, rows: Rows | None, t: Type | None) -> tuple[DataFrame, Type | None]:
+        """Values (column n) that a path of no steps joins with themselves, of type ``t`` if that can be: the constant at an
+        end, else the values that an end is bound to, else every node."""
+        for x in (subject, obj):
+            if x is not None and self.variable(x) is None:
+                key = self.key_of(x, t) if t is not None else None
+                own = constant(x).struct() if key is None else key
+                return self.spark.range(1).select(own.alias("n")), t if key is not None else None
+        for x in (subject, obj):
+            v = self.variable(x) if x is not None else None
+            if rows is not None and v in rows.cells:
+                cell = rows.cell(v)
+                kept = t if cell.type == t else None
+                return rows.df.select(as_type(cell, kept).alias("n")).distinct(), kept
+        return self.graph.nodes(), None
+
+    def key_of(self, term, t: Type) -> Column | None:
+        """A ground term as a value of a typed column, if it can be one."""
+        k, v, dt, lang = row_of(term)
+        key = v[len(t.template) :]
+        if (t.kind, t.dt, t.lang) != (k, dt, lang) or not v.startswith(t.template) or t.native not in ("string", "bigint"):
+            return None
+        if t.native == "string":
+            return F.lit(key)
+        return F.lit(int(key)).cast("bigint") if key.lstrip("-").isdigit() and str(int(key)) == key else None
+
     def joined(self, parts) -> tuple[DataFrame, Type | None, Type | None]:
         s, o = unified([p[1] for p in parts]), unified([p[2] for p in parts])
         frames = [df.select(as_type(Cell(ts, F.col("s")), s).alias("s"), as_type(Cell(to, F.col("o")), o).alias("o")) for df, ts, to in parts]
@@ -263,8 +302,8 @@ class Compiler:
                 t = Type(ta.kind, ta.dt, ta.lang) if both else None
                 value = lambda c: c.v if t else c.struct()  # noqa: E731, B023
                 na, nb = fresh(), fresh()
-                left = Rows(left.df.withColumn(na, value(left.cell(v))), {**left.cells, v: (na, t)})
-                right = Rows(right.df.withColumn(nb, value(right.cell(v))), {**right.cells, v: (nb, t)})
+                left = replace(left, df=left.df.withColumn(na, value(left.cell(v))), cells={**left.cells, v: (na, t)})
+                right = replace(right, df=right.df.withColumn(nb, value(right.cell(v))), cells={**right.cells, v: (nb, t)})
         return left, right, shared
 
     def join(self, left: Rows, right: Rows) -> Rows:
@@ -276,7 +315,8 @@ class Compiler:
         else:
             df = left.df.join(right.df, [F.col(left.cells[v][0]) == F.col(right.cells[v][0]) for v in shared])
         cells = {**right.cells, **left.cells}
-        return Rows(df.select(*[n for n, _ in cells.values()]), cells)
+        key = left.key | right.key if left.key is not None and right.key is not None else None
+        return Rows(df.select(*[n for n, _ in cells.values()]), cells, key=key)
 
     def without(self, elements, rows: Rows, negated: bool) -> Rows:
         """NOT and EXISTS at the top of a body: an anti or semi join on the shared variables. Filters inside that use
@@ -284,15 +324,23 @@ class Compiler:
         if any(isinstance(el, Filter) and _has_exists(el.expression) for el in elements):
             return self.flagged(elements, rows, negated)
         inner, residual = self.start(), []
-        for el in elements:
-            if isinstance(el, Triple):
-                inner = self.patterns([el], inner)
-            elif variables(el) <= set(inner.cells):
+        elements, k = list(elements), 0
+        while k < len(elements):
+            run = k
+            while run < len(elements) and isinstance(elements[run], Triple):
+                run += 1
+            if run > k:  # patterns side by side: those of one row are one scan
+                inner = self.patterns(elements[k:run], inner)
+                k = run
+                continue
+            el = elements[k]
+            if variables(el) <= set(inner.cells):
                 inner = self.filter(el.expression, inner)
             else:
                 # a variable bound on neither side is unbound here, whatever binds it later
                 known = set(inner.cells) | set(rows.cells)
                 residual.append((el.expression, known))
+            k += 1
         how = "left_anti" if negated else "left_semi"
         if inner.unit:
             hit = F.lit(True)
@@ -302,14 +350,14 @@ class Compiler:
         left, right, shared = self.aligned(rows, inner)
         both = Rows(left.df, {**right.cells, **left.cells})
         on = [F.col(left.cells[v][0]) == F.col(right.cells[v][0]) for v in shared]
-        on += [boolean(self.expression(e, both, known=known)) for e, known in residual]
+        on += [self.condition(e, both, known=known) for e, known in residual]
         if not on:
             return replace(rows, df=rows.df.join(right.df.limit(1).select(F.lit(1).alias(fresh())), F.lit(True), how))
         condition = on[0]
         for c in on[1:]:
             condition = condition & c
         df = left.df.join(right.df, condition, how)
-        return Rows(df.select(*[n for n, _ in left.cells.values()]) if left.cells else df, left.cells)
+        return Rows(df.select(*[n for n, _ in left.cells.values()]) if left.cells else df, left.cells, key=left.key)
 
     def exists_flag(self, elements, rows: Rows) -> tuple[Rows, Column]:
         """A column that says whether a group has a solution with each row: the group is solved for the distinct values of
@@ -330,7 +378,7 @@ class Compiler:
     def flagged(self, elements, rows: Rows, negated: bool) -> Rows:
         got, flag = self.exists_flag(elements, rows)
         df = got.df.where(~flag if negated else flag)
-        return Rows(df.select(*[n for n, _ in rows.cells.values()]), rows.cells)
+        return Rows(df.select(*[n for n, _ in rows.cells.values()]), rows.cells, key=rows.key)
 
     # filters, assignments, expressions
 
@@ -345,8 +393,30 @@ class Compiler:
             case Op("!", (Exists(elements, negated),)):
                 return self.without(elements, rows, not negated)
         rows, flags = self.flags(e, rows)
-        df = rows.df.where(boolean(self.expression(e, rows, flags)))
-        return Rows(df.select(*[n for n, _ in rows.cells.values()]) if rows.cells else df, rows.cells)
+        df = rows.df.where(self.condition(e, rows, flags))
+        return Rows(df.select(*[n for n, _ in rows.cells.values()]) if rows.cells else df, rows.cells, key=rows.key)
+
+    def condition(self, e, rows: Rows, flags=None, known=None) -> Column:
+        """An expression where null and false mean the same, as plain as its types allow: comparisons of columns reach the
+        source, equalities between two sides become join keys."""
+        again = lambda x: self.condition(x, rows, flags, known)
+        match e:
+            case Op("&&", (a, b)):
+                return again(a) & again(b)
+            case Op("||", (a, b)):
+                return again(a) | again(b)
+            case Op("!", (Op("=" | "!=" | "<" | "<=" | ">" | ">=" as name, args),)):
+                return ~apply(name, [self.expression(x, rows, flags, known) for x in args]).col
+            case Op("IN", (Var(), *_)) | Op("!", (Op("IN", (Var(), *_)),)):
+                inner = e if e.name == "IN" else e.args[0]
+                one, *others = [self.expression(x, rows, flags, known) for x in inner.args]
+                if all(isinstance(x, (IRI, Literal)) for x in inner.args[1:]) and others and one.type is not None and inner.args[0].name in rows.cells:
+                    hit = one.col.isin(*[x.col for x in others]) if all(x.type == one.type for x in others) else None
+                    if hit is None:
+                        for x in others:
+                            hit = equal(one, x) if hit is None else hit | equal(one, x)
+                    return hit if inner is e else ~hit
+        return holds(self.expression(e, rows, flags, known))
 
     def flags(self, e, rows: Rows) -> tuple[Rows, dict[int, Column]]:
         """Columns for the EXISTS that stand inside an expression."""
@@ -367,7 +437,7 @@ class Compiler:
         got, flags = self.flags(e, rows)
         value, name = self.expression(e, got, flags), fresh()
         df = got.df.select(*[n for n, _ in rows.cells.values()], value.col.alias(name)).where(F.col(name).isNotNull())
-        return Rows(df, {**rows.cells, v: (name, value.type)})
+        return Rows(df, {**rows.cells, v: (name, value.type)}, key=rows.key)
 
     def expression(self, e, rows: Rows, flags=None, known=None) -> Cell:
         flags = flags or {}
@@ -395,8 +465,16 @@ class Compiler:
                 cells = [again(a) for a in args]
                 return f(cells, self.context) if value in CASTS else f(*cells)
             case Call(str() as name, args) if name in BUILTINS:
+                cells = [again(a) for a in args]
                 self.context.row = [rows.cell(v).v for v in sorted(rows.cells)]
-                return BUILTINS[name]([again(a) for a in args], self.context)
+                self.context.pattern_checked = False
+                if name in ("REGEX", "REPLACE") and all(isinstance(a, Literal) for a in args[1:]):
+                    pattern, *rest = [a.value for a in args[1:]]
+                    to = rest.pop(0) if name == "REPLACE" else ""
+                    if not compiles(self.spark, pattern, rest[0] if rest else "", to):
+                        return error()
+                    self.context.pattern_checked = True
+                return BUILTINS[name](cells, self.context)
         return error()
 
     # heads
@@ -423,7 +501,9 @@ class Compiler:
             s, p, o = parts
             if isinstance(t.predicate, IRI):
                 df = rows.df.select(s.col.alias("s"), o.col.alias("o")).where("s IS NOT NULL AND o IS NOT NULL")
-                out.append((t.predicate.value, Fragment(df, F.col("s"), F.col("o"), s.type, o.type)))
+                named = {x.name for x in (t.subject, t.object) if isinstance(x, Var)}
+                unique = rows.key is not None and rows.key <= named
+                out.append((t.predicate.value, Fragment(df, F.col("s"), F.col("o"), s.type, o.type, unique=unique)))
             else:
                 df = rows.df.select(s.struct().alias("s"), p.struct().alias("p"), o.struct().alias("o")).dropna()
                 out.append((None, Fragment(df, F.col("s"), F.col("o"), None, None)))

@@ -42,10 +42,11 @@ def _frame(spark, predicate: str | None, fragments: list[Fragment], types=None)
 
 
 def _put(graph: Graph, predicate: str | None, df: DataFrame, s, o) -> None:
+    """``df`` has no row twice."""
     if predicate is ANY:
         graph.loose.append(df)
     else:
-        graph.add_pairs(predicate, df, s, o)
+        graph.add(predicate, Fragment(df, F.col("s"), F.col("o"), s, o, unique=True))
 
 
 def run_once(rules: list[Rule], graph: Graph, derived: Graph, compiler_for) -> None:
@@ -55,7 +56,8 @@ def run_once(rules: list[Rule], graph: Graph, derived: Graph, compiler_for) -> N
         made += _derive(r, compiler_for(r, graph))
     for p, fragments in _by_predicate(made).items():
         df, s, o = _frame(graph.spark, p, fragments)
-        df = df.distinct()
+        if len(fragments) > 1 or not fragments[0].unique:
+            df = df.distinct()
         _put(graph, p, df, s, o)
         _put(derived, p, df, s, o)
 
@@ -191,3 +193,56 @@ def _of(fragment: Fragment, predicate: str) -> Fragment:
     """The part of new general triples that has one predicate."""
     own = fragment.df.where(F.col("p.v") == predicate)
     return Fragment(own, F.col("s"), F.col("o"), None, None)
+
+
+def _general(fragments: list[Fragment], p: str) -> list[DataFrame]:
+    return [f.pairs().select(Cell(f.s_type, F.col("s")).struct().alias("s"), predicate_struct(p).alias("p"), Cell(f.o_type, F.col("o")).struct().alias("o")) for f in fragments]
+
+
+def known(graph: Graph, predicates: set) -> DataFrame | None:
+    """The graph's triples of some predicates (ANY: all) as general (s, p, o)."""
+    if ANY in predicates:
+        return graph.triples(False)
+    frames = [df for p in sorted(predicates) for df in _general(graph.scan(p), p)]
+    return union_all(frames) if frames else None
+
+
+def unknown(new: DataFrame, old: DataFrame | None) -> DataFrame:
+    """Rows of ``new`` whose triple isn't in ``old``, which is read once and, next to few new rows, not shuffled."""
+    if old is None:
+        return new
+    met = old.join(new.select("s", "p", "o"), ["s", "p", "o"], "left_semi")
+    return new.join(met, ["s", "p", "o"], "left_anti")
+
+
+def rounds(rules: dict[int, Rule], graph: Graph, delta: DataFrame | None, compiler_for, scratch, max_iterations: int):
+    """Semi-naive rounds over general triples: yields each round's new ones (s, p, o, rule), with every rule that derives
+    them then. ``delta``: triples of ``graph`` that are new to it; None: all are, so the first round runs whole
+    rules. ``graph`` gets the new triples. A rule that reads in ways other than plain patterns runs as a whole."""
+    written = set().union(*map(heads, rules.values())) if rules else set()
+    watched = written if delta is None else {ANY}
+    atoms = {i: _atoms(r, watched) for i, r in rules.items()}
+    for _ in range(max_iterations):
+        made = []
+        for i, r in rules.items():
+            derived: list = []
+            if delta is None or atoms[i] is None:
+                derived = _derive(r, compiler_for(r, graph))
+            else:
+                for el in atoms[i]:
+                    compiler, copy, new = compiler_for(r, graph), replace(el), Fragment(delta, F.col("s"), F.col("o"), None, None)
+                    compiler.instead[id(copy)] = _of(new, el.predicate.value) if isinstance(el.predicate, IRI) else new
+                    derived += _derive(r, compiler, [copy if x is el else x for x in r.body])
+            for p, f in derived:
+                df = f.df.select("s", "p", "o") if p is ANY else _general([f], p)[0]
+                made.append(df.withColumn("rule", F.lit(i)))
+        if not made:
+            return
+        new = scratch.keep(union_all(made).distinct())
+        new = scratch.keep(unknown(new, known(graph, written)))
+        if new.isEmpty():
+            return
+        yield new
+        delta = scratch.keep(new.select("s", "p", "o").distinct())
+        graph.loose.append(delta)
+    warnings.warn(f"rules stopped after {max_iterations} iterations without a fixpoint", RuntimeWarning, stacklevel=3)

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from ..graph import Graph, Table
 
 NAMESPACE = "http://example.org/"
-#: table -> (key columns, column -> table that it names)
+#: table -> (key columns, no two rows have the same; column -> table that it names)
 SHAPES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "region": (("r_regionkey",), {}),
     "nation": (("n_nationkey",), {"n_regionkey": "region"}),
@@ -30,5 +30,5 @@ def tables_graph(spark: SparkSession, folder: str, *names: str) -> Graph:
     graph = Graph(spark)
     for name in names or SHAPES:
         key, links = SHAPES[name]
-        graph.add_table(Table(spark.read.parquet(f"{folder}/{name}.parquet"), name, key, links, NAMESPACE))
+        graph.add_table(Table(spark.read.parquet(f"{folder}/{name}.parquet"), name, key, links, NAMESPACE, unique=bool(key)))
     return graph

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the session names in ``spark.checkpoint.dir``; only where nothing is set, a temporary folder."""
+    """What the session names in ``spark.checkpoint.dir``; where nothing is set, a local session uses a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not now.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")

@@ -1,7 +1,8 @@
 """Rule sets without negation over a stream of triples.
 
-Such rules only ever add, so each micro-batch can be evaluated with what came before and only its new
-conclusions written; the union of all batches is what one evaluation over everything would give.
+Such rules only ever add. The first micro-batch is evaluated with the base; later ones are a delta: rules run over what is
+new in them, joined with what came before, round by round (``RuleEngine.extend``), and only new conclusions are
+written. The union of all batches is what one evaluation over everything would give.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..engine import RuleEngine
 from ..graph import Graph
+from ..plans.fixpoint import unknown
 from ..plans.stratify import StratificationError, reads
+from ..storage import Scratch
 
 
 def apply_rules(engine: RuleEngine, stream: DataFrame, base: Graph, path: str) -> DataStreamWriter:
@@ -23,14 +26,18 @@ def apply_rules(engine: RuleEngine, stream: DataFrame, base: Graph, path: str) -
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        graph = base.copy()
-        kept = _earlier(spark, path, number)
+        scratch = Scratch(spark)
+        graph, kept = base.copy(), _earlier(spark, path, number)
         if kept is not None:
             graph.add_frame(kept)
-        new = Graph(spark).add_frame(batch).minus(graph)
-        graph.loose += new.loose
-        derived = engine.evaluate(graph, inplace=False, results_only=True)
-        rows = derived.triples(False).unionByName(new.triples(False)).distinct()
+        new = scratch.keep(Graph(spark).add_frame(batch).triples())
+        new = scratch.keep(unknown(new, graph.triples(False)))
+        if kept is None:  # what follows from the base alone is still to be found
+            graph.loose.append(new)
+            found = engine.evaluate(graph, inplace=False, results_only=True).triples(False)
+        else:
+            found = engine.extend(graph, new)
+        rows = found.unionByName(new).distinct()
         rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(run).outputMode("append")

@@ -64,6 +64,8 @@ class Cell:
         if name == "v":
             if t.native.startswith("timestamp"):
                 text = F.date_format(self.col, "yyyy-MM-dd'T'HH:mm:ss")
+            elif t.native == "double":
+                text = (self.col + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one number
             else:
                 text = self.col if t.native == "string" else self.col.cast("string")
             return F.concat(F.lit(t.template), text) if t.template else text
