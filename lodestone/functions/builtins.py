@@ -157,12 +157,13 @@ def _pattern(cell: Cell, flags: Cell | None) -> Column:
 def compiles(spark, pattern: str, flags: str = "", replacement: str = "") -> bool:
     """Whether a constant regular expression is one, and has the groups that a replacement names."""
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
 
     keep = re.sub("[^ims]", "", flags)
     named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern))
     try:
         groups = spark._jvm.java.util.regex.Pattern.compile(f"(?{keep}){named}" if keep else named).matcher("").groupCount()
-    except Py4JJavaError:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return all(int(k) <= groups for k in re.findall(r"\\(\d)", replacement))
 

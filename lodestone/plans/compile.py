@@ -169,6 +169,10 @@ class Compiler:
         return [f for f in fragments if can(f.s_type, t.subject) and can(f.o_type, t.object, f.constant)]
 
     def pattern(self, t: Triple, rows: Rows | None = None) -> Rows:
+        for place in ("subject", "object"):
+            x = getattr(t, place)
+            if isinstance(x, TripleTerm) and variables(x):
+                return self.inside(t, place, x, rows)
         if isinstance(t.predicate, Var):
             return self.any_predicate(t)
         key = None
@@ -192,8 +196,6 @@ class Compiler:
         for x, column, t in places:
             own = Cell(t, F.col(column))
             v = self.variable(x)
-            if v is None and isinstance(x, TripleTerm) and variables(x):
-                raise NotImplementedError("variables inside a triple term: bind the term and use SUBJECT, PREDICATE and OBJECT")
             if v is None:
                 tests.append(self.is_constant(own, x))
             elif v in cells and not self.compat:
@@ -206,6 +208,35 @@ class Compiler:
             df = df.where(test)
         return Rows(df.select(*[F.col(c).alias(cells[v][0]) for c, v in names]), cells)
 
+    def inside(self, t: Triple, place: str, term: TripleTerm, rows: Rows | None) -> Rows:
+        """A pattern with variables in a triple term: the term is matched as a whole and taken apart."""
+        whole = fresh()
+        outer = replace(t, **{place: Var(whole)})
+        if id(t) in self.instead:
+            self.instead[id(outer)] = self.instead[id(t)]
+        found = self.parts(term, whole, self.pattern(outer, rows))
+        cells = {v: c for v, c in found.cells.items() if v != whole}
+        return Rows(found.df.select(*[n for n, _ in cells.values()]) if cells else found.df, cells)
+
+    def parts(self, term: TripleTerm, whole: str, rows: Rows) -> Rows:
+        rows = replace(rows, df=rows.df.where(holds(BUILTINS["ISTRIPLE"]([rows.cell(whole)], self.context))))
+        for name, x in (("SUBJECT", term.subject), ("PREDICATE", term.predicate), ("OBJECT", term.object)):
+            cell = BUILTINS[name]([rows.cell(whole)], self.context)
+            v = self.variable(x)
+            if isinstance(x, TripleTerm) and variables(x):
+                v = fresh()
+            if v is None:
+                rows = replace(rows, df=rows.df.where(equal_terms(cell, constant(x))))
+            elif v in rows.cells:
+                rows = replace(rows, df=rows.df.where(equal_terms(cell, rows.cell(v))))
+            else:
+                column = fresh()
+                rows = Rows(rows.df.withColumn(column, cell.col).where(F.col(column).isNotNull()), {**rows.cells, v: (column, cell.type)})
+            if isinstance(x, TripleTerm) and variables(x):
+                rows = self.parts(x, v, rows)
+                rows = replace(rows, cells={k: c for k, c in rows.cells.items() if k != v})
+        return rows
+
     def any_predicate(self, t: Triple) -> Rows:
         df = self.instead[id(t)].df if id(t) in self.instead else self.graph.triples(False)
         return self.bound(df, [(t.subject, "s", None), (t.predicate, "p", None), (t.object, "o", None)])

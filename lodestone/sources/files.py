@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..namespaces import Namespaces
 from ..terms import BOOLEAN, INTEGERS, NUMERIC, TERM
+from .documents import write_json_ld, write_xml
 from .turtle import parse_json_ld, parse_turtle, parse_xml, write_turtle
 
 #: File name endings (fixed values).
@@ -97,15 +98,19 @@ def triple_lines(graph: Graph) -> DataFrame:
     return graph.triples().select(F.concat_ws(" ", *map(_line_term, "spo"), F.lit(".")).alias("value"))
 
 
+#: Document formats, written by the driver.
+WRITERS = {"turtle": write_turtle, "n3": write_turtle, "trig": write_turtle, "xml": lambda rows, _: write_xml(rows), "json-ld": lambda rows, _: write_json_ld(rows)}
+
+
 def write_graph(graph: Graph, path: str, format: str | None = None, namespaces: Namespaces | None = None) -> None:
-    """nt and parquet: a folder that the executors write. turtle: one file, for graphs that the driver can hold."""
+    """nt and parquet: a folder that the executors write. Documents: one file, for graphs that the driver can hold."""
     format = format or guess_format(path)
     if format in ("nt", "nquads"):
         triple_lines(graph).write.mode("overwrite").text(path)
     elif format == "parquet":
         graph.triples().write.mode("overwrite").parquet(path)
-    elif format in ("turtle", "n3", "trig"):
+    elif format in WRITERS:
         with open(path, "w", encoding="utf-8") as f:
-            f.write(write_turtle(graph.triples().collect(), namespaces))
+            f.write(WRITERS[format](graph.triples().collect(), namespaces))
     else:
         raise ValueError(f"can't write {format!r}")

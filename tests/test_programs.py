@@ -49,6 +49,9 @@ PROGRAMS = {
     "blank node in a body": (":a :p :b . :c :q :b .", "RULE { ?x :hit true } WHERE { ?x :p _:k . ?y :q _:k }", ":a :hit true ."),
     "property list and collection": (":a :p [ :q 1 ; :r 2 ] . :c :l (1 2) .", "RULE { ?x :sum ?s } WHERE { ?x :p [ :q ?a ; :r ?b ] . BIND(?a + ?b AS ?s) } RULE { ?x :second ?v } WHERE { ?x :l (1 ?v) }", ":a :sum 3 . :c :second 2 ."),
     "triple terms": (":a :p :b .", "RULE { :log :saw <<( :a :p :b )>> } WHERE { :a :p :b } RULE { ?o :object_of :log } WHERE { :log :saw ?t . BIND(OBJECT(?t) AS ?o) }", None),
+    "variables in a triple term": (":log :saw <<( :a :p :b )>> . :log :saw <<( :a :q :c )>> . :log :saw 1 . :a :k 7 .", "RULE { ?s :seen ?o } WHERE { ?l :saw <<( ?s :p ?o )>> } RULE { ?p :of ?k } WHERE { ?x :k ?k . ?l :saw <<( ?x ?p ?y )>> }", ":a :seen :b . :p :of 7 . :q :of 7 ."),
+    "bad pattern in data": (':a :n "x(" . :b :n "b" .', 'RULE { ?x :m ?n } WHERE { ?x :n ?n . FILTER(REGEX("abc", ?n)) } RULE { ?x :r ?s } WHERE { ?x :n ?n . BIND(REPLACE("abc", ?n, "-") AS ?s) } RULE { ?x :never 1 } WHERE { ?x :n ?n . FILTER(REGEX(?n, "(")) }', ':b :m "b" . :b :r "a-c" .'),
+    "bad group in a replacement": (':a :n "x" .', r'RULE { ?x :r ?s } WHERE { ?x :n ?n . BIND(REPLACE(?n, "x", "\\3") AS ?s) }', ""),
     "unknown function": (":a :n 1 .", "RULE { ?x :y 1 } WHERE { ?x :n ?n . FILTER(<http://none>(?n)) }", ""),
     "language tags": (':a :l "Hi"@en . :b :l "Moin"@de-DE .', 'RULE { ?x :en true } WHERE { ?x :l ?t . FILTER(LANGMATCHES(LANG(?t), "de")) }', ":b :en true ."),
 }

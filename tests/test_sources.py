@@ -25,7 +25,7 @@ def test_formats_round_trip(spark, tmp_path):
     (tmp_path / "in.ttl").write_text(TURTLE, encoding="utf-8")
     g = read_graph(spark, str(tmp_path / "in.ttl"))
     assert g.count() == 10
-    for name in ("out.nt", "out.parquet", "out.ttl"):
+    for name in ("out.nt", "out.parquet", "out.ttl", "out.rdf", "out.jsonld"):
         write_graph(g, str(tmp_path / name))
         assert plain(read_graph(spark, str(tmp_path / name))) == plain(g)
 
