@@ -199,10 +199,14 @@ def _compare(radius: int):
 def _links(distinct: DataFrame, texts: DataFrame, shingle: int, radius: int, part: int = simhash.PART) -> DataFrame:
     """(a, b) between nodes, enough to connect all pairs of one tile within ``radius`` bits whose shingles are alike.
 
-    Shingle sets are made again, from ``texts`` (node, text), for nodes that meet another one, and go with them.
+    Shingle sets are made again, from ``texts`` (node, text), for nodes that meet another one, and go with them. Where
+    several bands bring together the same nodes (128 bits over their numbers are equal), one of them is compared.
     """
     rows = distinct.select("node", "size", F.posexplode("bands").alias("band", "value"))
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("held"), *members).where("n > 1")
+    # the same nodes meet in many bands: they are compared in one
+    sizes = sizes.groupBy("n", "held", "m0", "m1").agg(F.min(F.struct("band", "value")).alias("at")).select("at.*", "n", "held")
     sizes = sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / part, F.col("held") / HELD, F.lit(1))).cast("int").alias("parts"))
     meets = rows.join(sizes, ["band", "value"]).groupBy("node").agg(F.collect_list(F.struct("band", "value", "parts")).alias("meets"))
     found = texts.join(distinct.select("node", "fp").join(meets, "node"), "node").select("node", "fp", "meets", "text")
