@@ -2,9 +2,8 @@
 
 import re
 
-
 import corpus_pipeline
-from lodestone.llm import quality_classifier, weak_rules
+from lodestone.llm import filters, quality_classifier, weak_rules
 from lodestone.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +42,45 @@ def test_stages(spark, tmp_path):
         before = now
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(before)
+
+
+def test_odd_rows_pass_all_stages(spark, odd, nothing, tmp_path):
+    """Nulls in every column, copies, repeated ids, very long texts, clashing names, no rows at all."""
+    wide = " ".join(f"word{k % 7919}" for k in range(150_000)) + "."
+    more = spark.createDataFrame([(50, wide, None, None, None, "b", 1, "f", "w", None)] * 2, odd.schema)
+    for name, docs in (("odd", odd.unionByName(more)), ("nothing", nothing)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(str(tmp_path / f"{name}{k}"))
+            before, docs = docs, spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == before.columns and docs.exceptAll(before).isEmpty()
+        assert {"doc_id", "sequence_id", "offset", "length"} <= set(docs.columns)
+        assert (docs.count() == 0) == before.isEmpty()
+
+
+def exact_classes(texts: dict) -> set:
+    """The smallest ids of the classes under similarity 0.8 of five-word shingles, from all pairs."""
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = {i: frozenset(filters.shingles(t).tolist()) for i, t in texts.items()}
+    ids = sorted(sets, key=lambda i: len(sets[i]))
+    for k, b in enumerate(ids):
+        for a in reversed(ids[:k]):
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            if find(a) != find(b) and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(i) for i in texts}
+
+
+def test_candidate_search_against_all_pairs(spark):
+    """Tiles are keyed by a search that could miss: on this table it misses nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = exact_classes({r.doc_id: r.text or "" for r in docs.collect()})
+    got = {r.doc_id for r in filters.one_of_each_class(docs).select("doc_id").collect()}
+    assert got == want and len(want) < docs.count()

@@ -24,6 +24,19 @@ def test_encoder_equals_the_library(file, kind, real):
             assert np.frombuffer(e.encode(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_encoder_on_odd_strings(file, kind):
+    """Words are encoded one by one and remembered; whole texts must give what the library gives."""
+    import random
+
+    e = encoder(P.path(file), kind)
+    rng = random.Random(11)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\u200b", "'s", "'LL", "a", "Bc", "é", "e\u0301", "ß", "İ", "ǆ", "東京", "😀", "👩\u200d💻", "ﬁ", "12", "3.4", "_", "--", "#!", "<|endoftext|>", "\x00", "\ufeff", "ก็", "नि"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3000)]
+    want = [x.ids for x in e.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in texts] == want
+
+
 def rows(docs):
     got = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     return sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
