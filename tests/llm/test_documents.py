@@ -63,6 +63,79 @@ def test_texts_of_any_two_lengths_can_be_compared(real):
         assert set(fingerprints.digests([t[:1]], rank)[0]) & set(fingerprints.digests([t], rank)[0])
 
 
+def brute_features(raw, width, rank):
+    """Windows that enough stretches of neighbours vote for, in plain Python."""
+    windows = [raw[i : i + width].ljust(width, b"\0") for i in range(max(1, len(raw) - width + 1))] if raw else []
+    cls = [int(fingerprints.entropy_classes(np.frombuffer(w + bytes(width), np.uint8), width)[0]) for w in windows]
+    votes = collections.Counter()
+    for end in range(len(windows) + width - 1):
+        stretch = range(max(0, end - width + 1), min(end, len(windows) - 1) + 1)
+        votes[min(stretch, key=lambda i: (rank[cls[i]], i))] += 1
+    return list(dict.fromkeys(windows[i] for i in sorted(votes) if votes[i] >= max(1, width // 4)))
+
+
+def brute_hash(window):
+    h, mask = 0x9E3779B97F4A7C15, 2**64 - 1
+    for k in range(0, len(window), 8):
+        h = (h ^ int.from_bytes(window[k : k + 8], "little")) * 0xFF51AFD7ED558CCD & mask
+        h ^= h >> 32
+        h = h * 0xC4CEB9FE1A85EC53 & mask
+        h ^= h >> 29
+    return h
+
+
+def brute_chain(hashes):
+    """Each filter as the set of its bits."""
+    return [{(h >> 11 * k) & 2047 for h in hashes[i : i + 160] for k in range(5)} for i in range(0, len(hashes), 160)]
+
+
+def brute_likeness(a, b):
+    """a, b: {width: chain of bit sets}."""
+    if not a or not b:
+        return float(not a and not b)
+    width = max(set(a) & set(b))
+    x, y = a[width], b[width]
+    if (len(x), sum(map(len, x))) > (len(y), sum(map(len, y))):
+        x, y = y, x
+    best = [max(0.0, max((len(f & g) - len(f) * len(g) / 2048) / (min(len(f), len(g)) - len(f) * len(g) / 2048) for g in y)) for f in x]
+    return min(1.0, sum(v * len(f) for v, f in zip(best, x)) / sum(map(len, x)))
+
+
+def test_digests_by_definition(real):
+    """Votes, Bloom chains and likeness in plain Python, over lengths on both sides of every limit."""
+    texts = [r.text for r in real.collect() if len(r.text) > 2100][:6]
+    rank = {w: fingerprints.ranks(fingerprints.class_counts([t.encode() for t in texts], w)) for w in fingerprints.SCALES}
+    cut = [t[:n] for t, n in zip(texts * 3, (1, 7, 8, 9, 31, 32, 33, 150, 191, 192, 193, 383, 384, 500, 1000, 2000))] + ["", "aaaa" * 30, "é東😀" * 60]
+    got = fingerprints.digests(cut, rank)
+    want = []
+    for t, own in zip(cut, got):
+        raw = t.encode()
+        chains = {}
+        for w in fingerprints.SCALES:
+            if raw and (w == 8 or len(raw) >= fingerprints.LARGE_FROM):
+                chains[w] = brute_chain([brute_hash(x) for x in brute_features(raw, w, rank[w])])
+        want.append(chains)
+        assert {w: [set(np.flatnonzero(np.unpackbits(row.view(np.uint8))).tolist()) for row in c] for w, c in own.items()} == chains
+    for i in range(len(cut)):
+        for j in range(len(cut)):
+            assert abs(fingerprints.likeness(got[i], got[j]) - brute_likeness(want[i], want[j])) < 1e-9
+
+
+def test_likeness_over_lengths(real):
+    """A text within a longer one is like it whatever the two lengths, an unrelated one isn't."""
+    texts = [r.text for r in real.collect() if r.text.isascii() and len(r.text) > 2100][:4]
+    rank = {w: fingerprints.ranks(fingerprints.class_counts([t.encode() for t in texts], w)) for w in fingerprints.SCALES}
+    lengths = (40, 100, 150, 191, 192, 193, 250, 383, 384, 500, 1000, 2000)
+    for k, t in enumerate(texts):
+        own = dict(zip(lengths, fingerprints.digests([t[:n] for n in lengths], rank)))
+        other = dict(zip(lengths, fingerprints.digests([texts[k - 1][-n:] for n in lengths], rank)))
+        for a in lengths:
+            assert fingerprints.likeness(own[a], own[a]) == 1.0
+            for b in lengths:
+                assert fingerprints.likeness(own[a], own[b]) > 0.6, (a, b)
+                assert fingerprints.likeness(own[a], other[b]) < 0.5, (a, b)
+
+
 def brute_fingerprint(text, shingle=4):
     from xxhash import xxh64_intdigest
 
