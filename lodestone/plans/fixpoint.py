@@ -222,6 +222,7 @@ def rounds(rules: dict[int, Rule], graph: Graph, delta: DataFrame | None, compil
     written = set().union(*map(heads, rules.values())) if rules else set()
     watched = written if delta is None else {ANY}
     atoms = {i: _atoms(r, watched) for i, r in rules.items()}
+    own: list[DataFrame] = []
     for _ in range(max_iterations):
         made = []
         for i, r in rules.items():
@@ -245,4 +246,9 @@ def rounds(rules: dict[int, Rule], graph: Graph, delta: DataFrame | None, compil
         yield new
         delta = scratch.keep(new.select("s", "p", "o").distinct())
         graph.loose.append(delta)
+        own.append(delta)
+        if len(own) > 8:  # few, larger tables
+            graph.loose = [df for df in graph.loose if not any(df is x for x in own)]
+            own = [scratch.keep(union_all(own))]
+            graph.loose += own
     warnings.warn(f"rules stopped after {max_iterations} iterations without a fixpoint", RuntimeWarning, stacklevel=3)

@@ -125,3 +125,26 @@ def test_provenance(spark):
     whole, log = RuleEngine(rules).evaluate_with_provenance(g, inplace=False)
     assert sorted((r.rule, r.stratum) for r in log.collect()) == [(0, 0), (0, 0), (1, 0), (2, 1)]
     assert whole.count() == 6
+
+
+def test_provenance_over_many_rounds(spark):
+    """A chain that takes a round for each link: each triple once, by the rule that was first."""
+    chain = " ".join(f":n{k} :p :n{k + 1} ." for k in range(13))
+    g = Graph(spark).add_triples(parse_turtle(NAME + chain))
+    rules = HEAD + "RULE { :n0 :sees ?y } WHERE { :n0 :p ?y } RULE { :n0 :sees ?z } WHERE { :n0 :sees ?y . ?y :p ?z }"
+    whole, log = RuleEngine(rules).evaluate_with_provenance(g, inplace=False)
+    assert sorted((r.rule, r.o.v) for r in log.collect()) == sorted([(0, "http://t/n1")] + [(1, f"http://t/n{k}") for k in range(2, 14)])
+    assert whole.count() == 26
+
+
+def test_extend_equals_evaluation_of_everything(spark):
+    """Triples that come later, in parts, lead to what all of them together lead to."""
+    rules = HEAD + "TRANSITIVE(:p) RULE { ?x :tag ?t } WHERE { ?x :p ?y . ?y :name ?t } RULE { ?x :far ?y } WHERE { ?x :p/:p ?y } RULE { ?x ?q ?y } WHERE { ?q :like :p . ?x :p ?y }"
+    parts = [":a :p :b . :b :name \"B\" .", ":b :p :c .", ":c :name \"C\" . :q :like :p .", ":c :p :a ."]
+    engine = RuleEngine(rules)
+    graph = engine.evaluate(Graph(spark).add_triples(parse_turtle(NAME + parts[0])), inplace=False)
+    for part in parts[1:]:
+        new = Graph(spark).add_triples(parse_turtle(NAME + part)).triples()
+        engine.extend(graph, new)
+    want = engine.evaluate(Graph(spark).add_triples(parse_turtle(NAME + " ".join(parts))), inplace=False)
+    assert texts(graph) == texts(want)
