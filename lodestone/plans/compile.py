@@ -441,7 +441,7 @@ class Compiler:
             case Op("IN", (Var(), *_)) | Op("!", (Op("IN", (Var(), *_)),)):
                 inner = e if e.name == "IN" else e.args[0]
                 one, *others = [self.expression(x, rows, flags, known) for x in inner.args]
-                if all(isinstance(x, (IRI, Literal)) for x in inner.args[1:]) and others and one.type is not None and inner.args[0].name in rows.cells:
+                if all(isinstance(x, (IRI, Literal)) for x in inner.args[1:]) and others and one.type is not None and inner.args[0].name in (rows.cells if known is None else known & set(rows.cells)):
                     hit = one.col.isin(*[x.col for x in others]) if all(x.type == one.type for x in others) else None
                     if hit is None:
                         for x in others:
