@@ -92,3 +92,17 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(out).select("s", "o").distinct().count() == 6
     with pytest.raises(StratificationError):
         apply_rules(RuleEngine("PREFIX : <http://t/> RULE { ?x :a 1 } WHERE { ?x :b 1 . NOT { ?x :c 1 } }"), stream, Graph(spark), out)
+
+
+def test_clusters_need_a_shared_folder():
+    """No machine-local folder where executors live on other machines."""
+    from types import SimpleNamespace as Stub
+
+    from lodestone.storage import shared_folder
+
+    unset = Stub(isDefined=lambda: False)
+    context = Stub(master="spark://host:7077", _jsc=Stub(sc=lambda: Stub(getCheckpointDir=lambda: unset)))
+    named = {"spark.checkpoint.dir": "s3a://bucket/tmp/"}
+    assert shared_folder(Stub(conf=Stub(get=lambda k, d: named.get(k, d)), sparkContext=context)) == "s3a://bucket/tmp"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Stub(conf=Stub(get=lambda k, d: d), sparkContext=context))
