@@ -27,7 +27,7 @@ from .common import stored, table, whole_text
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-TILE, PART = 256, 8192
+TILE, PART, HOT = 256, 8192, 1000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -177,14 +177,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFr
 
 def classes(fp: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id from a stored table (doc_id, fp)."""
-    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct, radius))  # (node, root)
     member = distinct.join(found, F.col("fp") == F.col("node"))
     smallest = member.groupBy("root").agg(F.min("least").alias("least"))
-    moved = found.join(smallest, "root").select(F.col("node").alias("fp"), "least")
-    named = distinct.join(moved.withColumnRenamed("least", "joined"), "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"))
-    # a hot fingerprint's rows are split by the skew join; the other side has one row for each fingerprint
-    return fp.join(named, "fp").select("doc_id", "fp", "component_id")
+    moved = found.join(smallest, "root").select(F.col("node").alias("fp"), F.col("least").alias("joined"))
+    named = stored(distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("joined", "least").alias("component_id")), "named")
+    # a hot fingerprint's rows stay where they are: fewer than HOT fingerprints can have a HOT-th of all rows each
+    rows = named.agg(F.sum("n").alias("n")).first().n or 0
+    often = F.col("n") * HOT > rows
+    hot, cold = F.broadcast(named.where(often)), named.where(~often)
+    rest = fp.join(F.broadcast(named.where(often).select("fp")), "fp", "left_anti").join(cold, "fp")
+    return fp.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
