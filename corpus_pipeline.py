@@ -2,6 +2,11 @@
 
 Stages work on all rows of ``docs``; the first three return the columns of ``documents`` (further columns of the
 input are kept as well), the last one the places of packed pieces.
+
+Defined results: a null text counts as empty, scores the classifier's bias and fails the base rules; null and repeated
+ids are rows like others (of copies, the row of the smallest id stays, a null id last; of equal rows one); texts of any
+length are used whole; a stage without rows returns none; columns of any other name, also ones that operators use
+inside, pass through.
 """
 
 from __future__ import annotations

@@ -2,6 +2,10 @@
 
 Rows keep all their columns. Where a filter needs a row of its own back, it marks rows in a stored table, so
 null and repeated ids do no harm.
+
+Defined results: a null text counts as empty and fails the base rules; texts without words are near copies of each other and of
+nothing else; of a class the row of the smallest id stays, a null id only where all are, of equal ids the first row
+stored; an empty table gives no rows; columns that are named as inner ones stay what they are.
 """
 
 from __future__ import annotations
