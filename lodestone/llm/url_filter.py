@@ -22,7 +22,7 @@ from .common import table
 
 BUCKETS = 8192
 GRAMS = (3, 4)
-STEPS, RATE, DECAY = 250, 8.0, 0.0003
+STEPS, RATE, DECAY = 400, 6.0, 0.0003
 MAX_LABELS = 2000
 #: (host and path start, verdict)
 RULES = (
