@@ -29,6 +29,7 @@ from .common import fresh_path, stored, table
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+HOT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -51,8 +52,16 @@ def with_responses(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("digest"))
     groups = rows.groupBy("digest", "bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
-    groups = stored(groups.where("n > 1 AND largest IS NOT NULL").select("digest", "bytes", "largest"), "equal-payloads")
-    joined = rows.join(groups, ["digest", "bytes"], "left")  # Spark broadcasts the table if its stored size allows it
+    groups = stored(groups.where("n > 1 AND largest IS NOT NULL"), "equal-payloads")
+    often = F.col("n") * HOT > (groups.agg(F.sum("n").alias("n")).first().n or 0)
+    # fewer than HOT groups can hold a HOT-th of the rows each: they go to the rows, whose payloads stay where they are
+    hot = groups.where(often).select("digest", "bytes", F.col("largest").alias("common"))
+    rows = rows.join(F.broadcast(hot), ["digest", "bytes"], "left")
+    apart = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))  # what is found already meets nothing, anywhere
+    rows = rows.withColumn("key", F.when(F.col("common").isNull(), F.col("digest")).otherwise(apart))
+    rest = groups.where(~often).select(F.col("digest").alias("key"), "bytes", "largest")
+    joined = rows.join(rest, ["key", "bytes"], "left")  # Spark broadcasts the table if its stored size allows it
+    joined = joined.withColumn("largest", F.coalesce("common", "largest"))
     refers = F.when(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
     return joined.select("page_id", "url", "payload", "bytes", "digest", refers.alias("refers_to"))
 
