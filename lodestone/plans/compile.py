@@ -92,14 +92,33 @@ class Compiler:
             return f"_:{x.label}"
         return None
 
+    def named(self, x) -> set[str]:
+        """Variables of a place, those inside a triple term as well."""
+        if isinstance(x, TripleTerm):
+            return set().union(*map(self.named, (x.subject, x.predicate, x.object)))
+        return {self.variable(x)} - {None}
+
+    def key(self, t: Triple) -> frozenset[str] | None:
+        """Variables that no two solutions of a pattern agree on, where such are known before it is read."""
+        if not isinstance(t.predicate, IRI) or id(t) in self.instead or any(isinstance(x, TripleTerm) and variables(x) for x in (t.subject, t.object)):
+            return None
+        found = self.matching(self.graph.scan(t.predicate.value), t)
+        if len(found) != 1 or not found[0].unique:
+            return None
+        if found[0].source is not None and self.variable(t.subject):
+            return frozenset([self.variable(t.subject)])
+        return frozenset(v for v in map(self.variable, (t.subject, t.object)) if v)
+
     def patterns(self, triples: list[Triple], rows: Rows) -> Rows:
-        """Joins patterns, those connected with what is bound first; patterns of one subject in one table are one scan."""
+        """Joins patterns, those connected with what is bound first, of these ones that add no rows (a key of theirs is bound)
+        before ones that may, and ones that bind less before ones that bind more; patterns of one subject in one table are one scan."""
         todo = list(triples)
         while todo:
             def rank(t: Triple):
-                own = {self.variable(x) for x in (t.subject, t.predicate, t.object)} - {None}
-                constants = sum(self.variable(x) is None for x in (t.subject, t.object))
-                return (bool(own & set(rows.cells)) or rows.unit, isinstance(t.predicate, IRI), constants)
+                own = set().union(*map(self.named, (t.subject, t.predicate, t.object)))
+                constants = sum(not self.named(x) for x in (t.subject, t.object))
+                key = self.key(t)
+                return (bool(own & set(rows.cells)) or rows.unit, isinstance(t.predicate, IRI), constants, key is not None and key <= set(rows.cells), -len(own - set(rows.cells)))
 
             first = max(todo, key=rank)
             todo.remove(first)
@@ -175,19 +194,13 @@ class Compiler:
                 return self.inside(t, place, x, rows)
         if isinstance(t.predicate, Var):
             return self.any_predicate(t)
-        key = None
         if id(t) in self.instead:
             df, s, o = merged(self.spark, [self.instead[id(t)]])
         elif isinstance(t.predicate, IRI):
-            found = self.matching(self.graph.scan(t.predicate.value), t)
-            df, s, o = merged(self.spark, found)
-            if len(found) == 1 and found[0].unique:
-                key = frozenset(v for v in map(self.variable, (t.subject, t.object)) if v)
-                if found[0].source is not None and self.variable(t.subject):
-                    key = frozenset([self.variable(t.subject)])
+            df, s, o = merged(self.spark, self.matching(self.graph.scan(t.predicate.value), t))
         else:
             df, s, o = self.path(t.predicate, t.subject, t.object, rows)
-        return replace(self.bound(df, [(t.subject, "s", s), (t.object, "o", o)]), key=key)
+        return replace(self.bound(df, [(t.subject, "s", s), (t.object, "o", o)]), key=self.key(t))
 
     def bound(self, df: DataFrame, places) -> Rows:
         """Constants become filters, variables columns, a variable met twice an equality."""

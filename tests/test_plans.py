@@ -128,3 +128,14 @@ def test_rows_of_the_compiler_know_their_key(spark):
     prefixes = {"ex": NS}
     assert compiler.body(parse_body("{ ?n ex:n_name ?x ; ex:n_regionkey ?r }", prefixes)).key == {"n"}
     assert compiler.body(parse_body("{ ?l ex:l_tax ?x ; ex:l_discount ?r }", prefixes)).key is None
+
+
+def test_annotations_do_not_meet_each_with_each(spark):
+    """All of a rule's annotations have one reifier: what they say is joined by value as well, whatever the patterns' order."""
+    rules = "RULE { ?c ex:owes ?a {| ex:about ?n |} } WHERE { ?c ex:c_acctbal ?a ; ex:c_name ?n . FILTER(?a < 0) }"
+    parts = ["?c ex:owes ?a", "?st rdf:reifies <<( ?c ex:owes ?a )>>", "?st ex:about ?x", "?c ex:c_name ?x"]
+    engine = RuleEngine(PREFIX + rules)
+    graph = engine.evaluate(tables_graph(spark, SF, "customer"), inplace=False)
+    for order in (parts, parts[::-1], [parts[k] for k in (2, 1, 0, 3)]):
+        text = plan(engine.select("{ " + " . ".join(order) + " }", graph, c="c", about="x"))
+        assert len(joins(text)) == 3 and not re.search("Cartesian|NestedLoop", text)
