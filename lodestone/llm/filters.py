@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash, weak_rules
-from .common import stored, stored_by, whole_text
+from .common import bucket_of, stored, stored_by, whole_text
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -26,11 +26,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 4
 #: Bits that may differ in a candidate: six standard deviations above the 48. What is linked is decided on the shingles.
 RADIUS = 86
-#: Shingles of one part of a band that a task may hold.
+#: The same for the first half of the bits (24 and six deviations of 4.4): the other half is only counted where these are near.
+HALF_RADIUS = 51
+#: Shingles of one part of a class that a task may hold.
 HELD = 4 << 20
-#: Tiles hold texts that agree in ``ROWS`` minima of one of ``BANDS`` bands: at similarity 0.8 all but 2 in 10,000 pairs.
-BANDS, ROWS = 12, 3
+#: Fingerprints are dealt by size into about PIECES pieces, of at least LEAST rows and at most MOST.
+PIECES, LEAST, MOST = 40, 512, 1 << 17
 _ROW, _MARK = "__kept_row", "__kept_mark"
+_FP = [f"f{w}" for w in range(WORDS)]
 
 
 def kept_by_rules(docs: DataFrame) -> DataFrame:
@@ -64,25 +67,16 @@ def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def sketch(text: str, shingle: int = SHINGLE) -> tuple[list[int], list[int], int]:
-    """(SimHash words, band values, size) of the set of word shingles; no words: zeros."""
+def sketch(text: str, shingle: int = SHINGLE) -> tuple[list[int], int, int]:
+    """(SimHash words, digest, size) of the set of word shingles; no words: zeros."""
     h = shingles(text, shingle)
-    if not len(h):
-        return [0] * WORDS, [0] * BANDS, 0
     fp = []
     for k in range(WORDS):
         counts = np.zeros(64, np.int64)
         for lo in range(0, len(h), 1 << 16):
             counts += np.unpackbits(_mix(h[lo : lo + (1 << 16)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         fp.append(int(simhash._WEIGHTS[2 * counts > len(h)].sum()))
-    # multiplication by unrelated odd numbers: each makes another order of well mixed hashes
-    odd = _mix(np.arange(BANDS * ROWS, dtype=np.uint64), WORDS + 1) | np.uint64(1)
-    mixed = _mix(h, WORDS)
-    least = np.array([int((mixed * a).min()) for a in odd], np.uint64).reshape(BANDS, ROWS)
-    bands = np.zeros(BANDS, np.uint64)
-    for r in range(ROWS):
-        bands = _mix(bands ^ least[:, r], r)
-    return fp, bands.tolist(), len(h)
+    return fp, int(_mix(h, WORDS).sum(dtype=np.uint64)), len(h)
 
 
 def _sketches(shingle: int):
@@ -91,10 +85,10 @@ def _sketches(shingle: int):
 
         for batch in batches:
             got = [sketch(x.as_py(), shingle) for x in batch.column("text")]
-            columns = [np.array([g[k] for g in got], np.uint64).view(np.int64).reshape(len(got), -1) for k in (0, 1)]
-            lists = [pa.array(list(c), pa.list_(pa.int64())) for c in columns]
-            sizes = pa.array([g[2] for g in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("doc_id"), *lists, sizes], names=["mark", "doc_id", "fp", "bands", "size"])
+            words = np.array([g[0] for g in got], np.uint64).view(np.int64).reshape(len(got), WORDS)
+            digests = pa.array(np.array([g[1] for g in got], np.uint64).view(np.int64))
+            columns = [batch.column("mark"), batch.column("doc_id"), *[pa.array(words[:, w]) for w in range(WORDS)], digests, pa.array([g[2] for g in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["mark", "doc_id", *_FP, "digest", "size"])
 
     return run
 
@@ -105,12 +99,109 @@ def _sets(shingle: int):
 
         for batch in batches:
             got = [shingles(x.as_py(), shingle).view(np.int64) for x in batch.column("text")]
-            columns = [batch.column("node"), batch.column("fp"), batch.column("meets"), pa.array(got, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "meets", "own"])
+            columns = [batch.column(c) for c in ("node", *_FP, "root", "parts")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.list_(pa.int64()))], names=["node", *_FP, "root", "parts", "set"])
 
     return run
 
 
+def near_links(fps: np.ndarray, size: np.ndarray, radius: int, split: int | None = None, tile: int = simhash.TILE) -> list[tuple[int, int]]:
+    """As ``simhash.tile_links`` for fingerprints of several words (rows): links that connect what lies within the radius and
+    can be alike by size. Tiles are skipped by population counts and by sizes."""
+    parts = [np.arange(len(fps))] if split is None else [np.arange(split), np.arange(split, len(fps))]
+    ones = np.bitwise_count(fps).sum(axis=1).astype(np.int64)
+    tiles = []
+    for part in parts:
+        part = part[np.argsort(size[part], kind="stable")]
+        tiles.append([part[i : i + tile] for i in range(0, len(part), tile)])
+    spans = [[(size[x[0]], size[x[-1]], ones[x].min(), ones[x].max()) for x in side] for side in tiles]
+    words, half = np.ascontiguousarray(fps.T), WORDS // 2
+    parent, used = np.arange(len(fps)), []
+    for i, x in enumerate(tiles[0]):
+        small, large, few, many = spans[0][i]
+        for y, (least, most, fewer, more) in zip(tiles[0][i:], spans[0][i:]) if split is None else zip(tiles[1], spans[1]):
+            if large < SIMILARITY * least - 1e-6 or most < SIMILARITY * small - 1e-6 or max(few, fewer) - min(many, more) > radius:
+                continue
+            if (parent[x[0]] == parent[x]).all() and (parent[x[0]] == parent[y]).all():
+                continue
+            apart = np.zeros((len(x), len(y)), np.uint8)
+            for w in range(half):
+                apart += np.bitwise_count(words[w][x][:, None] ^ words[w][y][None, :])
+            a, b = np.divmod(np.flatnonzero(apart <= HALF_RADIUS), len(y))
+            if x is y:
+                a, b = a[a < b], b[a < b]
+            a, b = x[a], y[b]
+            less, greater = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            open_ = (parent[a] != parent[b]) & (less >= SIMILARITY * greater - 1e-6)
+            a, b = a[open_], b[open_]
+            whole = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= radius
+            a, b = a[whole], b[whole]
+            if len(a):
+                used += simhash._joined(parent, a, b)
+    return used
+
+
+def _near(radius: int):
+    def run(batches):
+        import pyarrow as pa
+
+        def close(held):
+            node, side, size, fps = (np.concatenate([h[k] for h in held]) for k in range(4))
+            held.clear()
+            split = int((side == 0).sum())
+            return [(node[a], node[b]) for a, b in near_links(fps, size, radius, split if 0 < split < len(side) else None)]
+
+        held: list = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, side, node, size, *words = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("x", "y", "side", "node", "size", *_FP))
+            fps = np.stack(words, axis=1).view(np.uint64)
+            new = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            cuts, out = [0, *new.tolist(), len(node)], []
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = (x[lo], y[lo])
+                if held and key != last:
+                    out += close(held)
+                held.append((node[lo:hi], side[lo:hi], size[lo:hi], fps[lo:hi]))
+                last = key
+            yield simhash._edges(pa, out)
+        if held:
+            yield simhash._edges(pa, close(held))
+
+    return run
+
+
+def near(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """(a, b) between nodes, enough to connect all whose fingerprints lie within ``radius`` bits and whose sizes allow the similarity.
+
+    At this radius no bands exist that near fingerprints must share, so every tile meets every other one that sizes and
+    population counts don't rule out. Pieces of neighbouring sizes are the unit that is dealt to tasks: each pair of pieces that
+    can hold something alike is a group. The driver gets a row for each piece.
+    """
+    spark = nodes.sparkSession
+    n = nodes.count()
+    rows = min(max(-(-n // PIECES), LEAST), most)
+    shares = [k * rows / n for k in range(1, -(-n // rows))]
+    found = nodes.agg(F.percentile_approx("size", shares, 10 * len(shares) + 1000)).first()[0] if shares else []
+    dealt = nodes.withColumn("bucket", bucket_of(F.col("size"), sorted(set(found))))
+    pieces = [(b.bucket, k, b.lo, b.hi) for b in sorted(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).collect()) for k in range(-(-b.n // rows))]
+    lo, hi = (np.array([p[k] for p in pieces], np.float64) for k in (2, 3))
+    last = np.searchsorted(lo, (hi + 1e-6) / SIMILARITY, "right") - 1  # the last piece with something large enough to be ruled out
+    first = np.searchsorted(last, np.arange(len(pieces)))
+    listed = [(b, k, i, int(first[i]), int(last[i])) for i, (b, k, _, _) in enumerate(pieces)]
+    table = F.broadcast(spark.createDataFrame(listed, "bucket int, part int, piece int, first int, last int"))
+    parts = F.broadcast(spark.createDataFrame(listed, "bucket int, part int, piece int, first int, last int").groupBy("bucket").agg(F.count("*").alias("parts")))
+    dealt = dealt.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(table, ["bucket", "part"])
+    dealt = dealt.select("node", "size", *_FP, "piece", F.explode(F.sequence("first", "last")).alias("other"))
+    side = F.when(F.col("piece") <= F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), side.alias("side"), "node", "size", *_FP)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "x", "y").sortWithinPartitions("x", "y", "side")
+    return dealt.mapInArrow(_near(radius), "a long, b long").distinct()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Of two ascending sets: shared elements of all; two empty sets are alike."""
     if len(a) > len(b):
@@ -181,14 +272,14 @@ def _compare(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, value, pair, side, node, *words = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("band", "value", "pair", "side", "node", *[f"f{w}" for w in range(WORDS)]))
+            root, pair, side, node, *words = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("root", "pair", "side", "node", *_FP))
             fps = np.stack(words, axis=1).view(np.uint64)
-            ends, own = batch.column("own").offsets.to_numpy().tolist(), batch.column("own").values.to_numpy().view(np.uint64)
+            ends, own = batch.column("set").offsets.to_numpy().tolist(), batch.column("set").values.to_numpy().view(np.uint64)
             sets = [own[lo:hi] for lo, hi in zip(ends, ends[1:])]
-            new = np.flatnonzero((band[1:] != band[:-1]) | (value[1:] != value[:-1]) | (pair[1:] != pair[:-1])) + 1
+            new = np.flatnonzero((root[1:] != root[:-1]) | (pair[1:] != pair[:-1])) + 1
             cuts, out = [0, *new.tolist(), len(node)], []
             for lo, hi in zip(cuts, cuts[1:]):
-                key = (band[lo], value[lo], pair[lo])
+                key = (root[lo], pair[lo])
                 if held and key != last:
                     out += close(held)
                 held.append((node[lo:hi], side[lo:hi], fps[lo:hi], sets[lo:hi]))
@@ -200,48 +291,43 @@ def _compare(radius: int):
     return run
 
 
-def _links(distinct: DataFrame, texts: DataFrame, shingle: int, radius: int, part: int = simhash.PART) -> DataFrame:
-    """(a, b) between nodes, enough to connect all pairs of one tile within ``radius`` bits whose shingles are alike.
+def _links(nodes: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, radius: int, part: int = simhash.PART) -> DataFrame:
+    """(a, b) between nodes, enough to connect all of one SimHash class (``found``: node, root) whose shingles are alike.
 
-    Shingle sets are made again, from ``texts`` (node, text), for nodes that meet another one, and go with them. Where
-    several bands bring together the same nodes (128 bits over their numbers are equal), one of them is compared.
+    Shingle sets are made again, from ``texts`` (node, text), for nodes in a class with others, and go with them once, or as
+    often as a class has parts.
     """
-    rows = distinct.select("node", "size", F.posexplode("bands").alias("band", "value"))
-    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("held"), *members).where("n > 1")
-    # the same nodes meet in many bands: they are compared in one
-    sizes = sizes.groupBy("n", "held", "m0", "m1").agg(F.min(F.struct("band", "value")).alias("at")).select("at.*", "n", "held")
-    sizes = sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / part, F.col("held") / HELD, F.lit(1))).cast("int").alias("parts"))
-    meets = rows.join(sizes, ["band", "value"]).groupBy("node").agg(F.collect_list(F.struct("band", "value", "parts")).alias("meets"))
-    found = texts.join(distinct.select("node", "fp").join(meets, "node"), "node").select("node", "fp", "meets", "text")
-    found = found.mapInArrow(_sets(shingle), "node long, fp array<long>, meets array<struct<band:int,value:long,parts:int>>, own array<long>")
-    words = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(WORDS)]
-    rows = found.select("node", *words, F.col("own").alias("set"), F.inline("meets"))
+    member = nodes.join(found, "node")
+    sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    sizes = sizes.select("root", F.ceil(F.greatest(F.col("n") / part, F.col("held") / HELD, F.lit(1))).cast("int").alias("parts"))
+    rows = texts.join(member.join(sizes, "root").select("node", *_FP, "root", "parts"), "node").select("node", *_FP, "root", "parts", "text")
+    rows = rows.mapInArrow(_sets(shingle), f"node long, {', '.join(f'{f} long' for f in _FP)}, root long, parts int, set array<long>")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pair = F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other")
     side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    rows = rows.select("band", "value", pair.alias("pair"), side.alias("side"), "node", *[f"f{w}" for w in range(WORDS)], F.col("set").alias("own"))
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "band", "value", "pair").sortWithinPartitions("band", "value", "pair", "side")
+    rows = rows.select("root", pair.alias("pair"), side.alias("side"), "node", *_FP, "set")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "root", "pair").sortWithinPartitions("root", "pair", "side")
     return rows.mapInArrow(_compare(radius), "a long, b long").distinct()
 
 
 def one_of_each_class(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each class of near copies (word shingles' similarity 0.8 or more), that of the smallest doc_id.
 
-    Rows that go are joined to the one that stays by links of which each has that similarity, counted on the shingle sets.
-    SimHash at 256 bits with tiled comparison finds what to count. At this similarity bits differ too often for the pigeonhole
-    bands of ``simhash``, so tiles are keyed by minima of the same shingles' hashes: what can be alike meets in some
-    tile, and the comparison's cost follows the tiles, not the square of the documents.
+    The method of ``simhash`` at 256 bits: fingerprints are compared in tiles by exclusive-or and bit counts, tile pairs are
+    skipped by population counts (and by set sizes), and classes are the components of the links. A radius that holds all
+    pairs of this similarity also holds less similar ones, so an exact check follows inside each SimHash class: rows that
+    go are joined to the one that stays by links of which each has that similarity, counted on the shingle sets.
     """
     marked = stored_by(docs.select(F.struct("*").alias(_ROW), F.monotonically_increasing_id().alias(_MARK)), _MARK, "marked")
     texts = marked.select(F.col(_MARK).alias("mark"), F.col(f"{_ROW}.doc_id").cast("long").alias("doc_id"), whole_text(f"{_ROW}.text").alias("text"))
-    sketches = stored(texts.mapInArrow(_sketches(shingle), "mark long, doc_id long, fp array<long>, bands array<long>, size long"), "sketches")
-    # equal sketches (copies, however many) are one node
+    sketches = stored(texts.mapInArrow(_sketches(shingle), f"mark long, doc_id long, {', '.join(f'{f} long' for f in _FP)}, digest long, size long"), "sketches")
+    # equal sets (copies, however many) are one node
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best")
-    nodes = stored(sketches.groupBy("fp", "bands").agg(F.min("mark").alias("node"), F.max("size").alias("size"), best), "nodes")
-    found = components(_links(nodes, texts.select(F.col("mark").alias("node"), "text"), shingle, radius))
+    nodes = stored(sketches.groupBy(*_FP, "digest", "size").agg(F.min("mark").alias("node"), best), "nodes")
+    candidates = stored(components(near(nodes, radius)), "candidates")
+    found = components(_links(nodes, candidates, texts.select(F.col("mark").alias("node"), "text"), shingle, radius))
     classes = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("best").alias("best"))
     keep = classes.select(F.col("best.mark").alias(_MARK))
     return marked.join(keep, _MARK, "left_semi").select(f"{_ROW}.*")

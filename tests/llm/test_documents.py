@@ -489,3 +489,44 @@ def test_what_goes_is_linked_at_the_least_similarity(spark):
     want = sorted(set(root))
     assert 40 < len(want) < len(rows)
     assert sorted(r.doc_id for r in filters.one_of_each_class(docs).collect()) == want
+
+
+def test_near_copies_are_found_by_their_fingerprints(spark):
+    """Texts of five and four shingles, four of them shared: these share no minimum of hashes that a search was keyed by."""
+    rows = []
+    for n in (3772, 5057, 5317):
+        words = [f"w{n}x{k}" for k in range(9)]
+        rows += [(n, " ".join(words)), (n + 10_000, " ".join(words[:8]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in filters.one_of_each_class(docs).collect()) == [3772, 5057, 5317]
+
+
+def test_tiles_connect_what_is_near(spark):
+    """Fingerprints in several pieces of sizes against all pairs: what lies within both radii and the sizes' ratio is connected."""
+    rng = np.random.default_rng(4)
+    fps, sizes = [], []
+    for _ in range(120):
+        fp, size = rng.integers(0, 256, 32, np.uint8), int(rng.integers(1, 400))
+        for _ in range(3):
+            flips = np.packbits(rng.random(256) < 0.12)
+            fps.append((fp ^ flips).view(np.uint64))
+            sizes.append(max(1, int(size * rng.uniform(0.85, 1.1))))
+    fps = np.array(fps)
+    apart = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).astype(int)
+    less, more = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+    want = (apart.sum(axis=2) <= filters.RADIUS) & (apart[:, :, :2].sum(axis=2) <= filters.HALF_RADIUS) & (less >= 0.8 * more - 1e-6)
+    assert 200 < np.triu(want, 1).sum() < 400
+
+    def roots(pairs):
+        root = list(range(len(fps)))
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    rows = [(k, *w, s) for k, (w, s) in enumerate(zip(fps.view(np.int64).tolist(), sizes))]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, size long")
+    for most in (32, 1 << 17):
+        got = [tuple(r) for r in filters.near(nodes, most=most).collect()]
+        assert all(want[a, b] for a, b in got)
+        assert roots(got) == roots(zip(*np.nonzero(want)))
