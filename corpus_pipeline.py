@@ -33,9 +33,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filters.one_of_each_class(docs)
 
 
+#: Entries of the encoder's memos (pieces, words): workers that earlier stages have used stand beside a heap that they have filled.
+MEMOS = (100_000, 100_000)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces' places in sequences of at most 4,096 tokens."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), memos=MEMOS)
     return packing.pack(stored(pieces, "pieces"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -119,6 +121,21 @@ def ordered_buckets(df: DataFrame, key: Column) -> tuple[Column, int, list[int]]
     return bucket_of(key, bounds), parts, bounds
 
 
+def lean(run):
+    """``run`` (for mapInArrow) that gives its memory back to the system when a partition ends: Spark keeps workers for later
+    stages, and what allocators hold back would count beside theirs."""
+
+    def freed(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return freed
+
+
 class Memo(dict):
     """A mapping that makes what it lacks and holds at most two generations of ``limit`` entries."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash, weak_rules
-from .common import bucket_of, stored, stored_by, whole_text
+from .common import bucket_of, lean, stored, stored_by, whole_text
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -199,7 +199,7 @@ def near(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     dealt = dealt.select(F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), side.alias("side"), "node", "size", *_FP)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(tasks, "x", "y").sortWithinPartitions("x", "y", "side")
-    return dealt.mapInArrow(_near(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(_near(radius)), "a long, b long").distinct()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -301,7 +301,7 @@ def _links(nodes: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, r
     sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
     sizes = sizes.select("root", F.ceil(F.greatest(F.col("n") / part, F.col("held") / HELD, F.lit(1))).cast("int").alias("parts"))
     rows = texts.join(member.join(sizes, "root").select("node", *_FP, "root", "parts"), "node").select("node", *_FP, "root", "parts", "text")
-    rows = rows.mapInArrow(_sets(shingle), f"node long, {', '.join(f'{f} long' for f in _FP)}, root long, parts int, set array<long>")
+    rows = rows.mapInArrow(lean(_sets(shingle)), f"node long, {', '.join(f'{f} long' for f in _FP)}, root long, parts int, set array<long>")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pair = F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other")
@@ -309,7 +309,7 @@ def _links(nodes: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, r
     rows = rows.select("root", pair.alias("pair"), side.alias("side"), "node", *_FP, "set")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "root", "pair").sortWithinPartitions("root", "pair", "side")
-    return rows.mapInArrow(_compare(radius), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_compare(radius)), "a long, b long").distinct()
 
 
 def one_of_each_class(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -322,7 +322,7 @@ def one_of_each_class(docs: DataFrame, shingle: int = SHINGLE, radius: int = RAD
     """
     marked = stored_by(docs.select(F.struct("*").alias(_ROW), F.monotonically_increasing_id().alias(_MARK)), _MARK, "marked")
     texts = marked.select(F.col(_MARK).alias("mark"), F.col(f"{_ROW}.doc_id").cast("long").alias("doc_id"), whole_text(f"{_ROW}.text").alias("text"))
-    sketches = stored(texts.mapInArrow(_sketches(shingle), f"mark long, doc_id long, {', '.join(f'{f} long' for f in _FP)}, digest long, size long"), "sketches")
+    sketches = stored(texts.mapInArrow(lean(_sketches(shingle)), f"mark long, doc_id long, {', '.join(f'{f} long' for f in _FP)}, digest long, size long"), "sketches")
     # equal sets (copies, however many) are one node
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best")
     nodes = stored(sketches.groupBy(*_FP, "digest", "size").agg(F.min("mark").alias("node"), best), "nodes")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole_text
+from .common import lean, stored, table, whole_text
 
 CAPACITY = 4096
 END_ID = 1
@@ -34,13 +34,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def _cut(path: str, kind: str, end_id: int, capacity: int):
+def _cut(path: str, kind: str, end_id: int, capacity: int, memos: tuple[int, ...] = ()):
     def run(batches):
         import pyarrow as pa
 
         from .tokens import encoder
 
-        enc, end = encoder(path, kind), np.uint32(end_id).tobytes()
+        enc, end = encoder(path, kind, *memos), np.uint32(end_id).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -55,10 +55,11 @@ def _cut(path: str, kind: str, end_id: int, capacity: int):
     return run
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and checksum of each piece of at most ``capacity`` tokens."""
+def token_pieces(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = END_ID, capacity: int = CAPACITY, memos: tuple[int, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length and checksum of each piece of at most ``capacity`` tokens. memos: limits of the encoder's,
+    which bound a worker's memory."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(_cut(vocabulary, kind, end_id, capacity), PIECES)
+    return rows.mapInArrow(lean(_cut(vocabulary, kind, end_id, capacity, memos)), PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

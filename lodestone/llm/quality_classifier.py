@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, stored, table, whole_text
+from .common import Memo, lean, stored, table, whole_text
 
 BUCKETS, WIDTH = 1 << 16, 8
 GRAM_LENGTHS = (3, 4)
@@ -191,7 +191,7 @@ def _with_scores(logits: np.ndarray, bias: float, floor: float):
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], floor: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text scores ``floor`` or more."""
-    return docs.mapInArrow(_with_scores(*model, floor), docs.schema)
+    return docs.mapInArrow(lean(_with_scores(*model, floor)), docs.schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

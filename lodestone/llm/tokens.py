@@ -19,7 +19,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # f
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _PLAIN = re.compile(r"[\n -~¡-ÿ]*").fullmatch
 _ENDS = frozenset(".,;:!?")
-_made: dict[tuple[str, str], object] = {}
+_made: dict[tuple, object] = {}
 
 
 class _Odd(Exception):
@@ -34,9 +34,9 @@ def _visible_bytes() -> dict[int, int]:
 
 
 class Encoder:
-    """encode(text) -> ids as little-endian unsigned 32-bit integers. kind: 'byte' or 'word'."""
+    """encode(text) -> ids as little-endian unsigned 32-bit integers. kind: 'byte' or 'word'; pieces, words: the memos' limits."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, pieces: int = 400_000, words: int = 200_000):
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
@@ -52,8 +52,8 @@ class Encoder:
         self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **suffix)
         self.table, self.kind = _visible_bytes(), kind
         self.words = regex.compile(PATTERN if kind == "byte" else WORD_PATTERN).findall
-        self.memo = Memo(self._after_space if kind == "byte" else self._piece, 400_000)
-        self.word = Memo(self._word, 200_000)
+        self.memo = Memo(self._after_space if kind == "byte" else self._piece, pieces)
+        self.word = Memo(self._word, words)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalnum():
@@ -96,8 +96,8 @@ class Encoder:
             return self._piece(first) + b"".join([self._piece(p, " ") for p in rest])
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """One per worker and vocabulary."""
-    if (path, kind) not in _made:
-        _made[path, kind] = Encoder(path, kind)
-    return _made[path, kind]
+def encoder(path: str, kind: str, *limits: int) -> Encoder:
+    """One per worker, vocabulary and limits of its memos."""
+    if (path, kind, *limits) not in _made:
+        _made[path, kind, *limits] = Encoder(path, kind, *limits)
+    return _made[path, kind, *limits]

@@ -1,8 +1,14 @@
 """The pipeline's stages against brute force, and the queries' registration."""
 
+import os
 import re
+import subprocess
+import sys
 
 import corpus_pipeline
+import numpy as np
+import pytest
+from pyspark import cloudpickle
 from lodestone.llm import filters, quality_classifier, weak_rules
 from lodestone.llm.queries import QUERIES
 
@@ -84,3 +90,55 @@ def test_candidate_search_against_all_pairs(spark):
     want = exact_classes({r.doc_id: r.text or "" for r in docs.collect()})
     got = {r.doc_id for r in filters.one_of_each_class(docs).select("doc_id").collect()}
     assert got == want and len(want) < docs.count()
+
+
+class _Taken(Exception):
+    """Stands for a table; what is to run over its batches is kept instead of run."""
+
+    schema = None
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        raise self
+
+
+#: Megabytes that a worker of its own takes at most, and at the end, for many new words.
+_MEASURE = """
+import pickle, random, re, sys
+import pyarrow as pa
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    rng = random.Random(3)
+    for k in range(4):
+        text = [" ".join("%s%s." % (w[:5], w[5:]) for w in ("".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(300))) for _ in range(700)]
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(range(700)), "text": text})
+        del text
+
+run = pickle.load(open(sys.argv[1], "rb"))
+for _ in batches():
+    pass
+start, most = held(), 0
+for _ in run(batches()):
+    most = max(most, held())
+print(most - start, held() - start)
+"""
+
+
+def test_a_workers_memory_is_bounded(spark, tmp_path):
+    """Earlier stages' workers and a full heap stand beside the encoder's memos: together they took over 3,000 MB."""
+    taken = []
+    model = (np.zeros(quality_classifier.BUCKETS, np.float32), 0.0)
+    for use in (lambda docs: corpus_pipeline.pack(spark, docs, SF), lambda docs: quality_classifier.keep_good(docs, model)):
+        with pytest.raises(_Taken) as got:
+            use(_Taken())
+        (tmp_path / "run").write_bytes(cloudpickle.dumps(got.value.run))
+        said = subprocess.run([sys.executable, "-c", _MEASURE, str(tmp_path / "run")], capture_output=True, text=True, check=True, cwd=os.path.dirname(corpus_pipeline.__file__))
+        taken.append([float(x) for x in said.stdout.split()])
+    assert taken[0][0] < 140  # the encoder is 35 of them
+    assert taken[1][1] < 60  # nothing is kept after a partition
