@@ -15,21 +15,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import filters, packing, quality_classifier
-from lodestone.llm.common import stored, table
+from lodestone.llm.common import give_back, stored, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more."""
+    give_back(spark)
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    give_back(spark)
     return filters.kept_by_rules(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the smallest doc_id."""
+    give_back(spark)
     return filters.one_of_each_class(docs)
 
 
@@ -39,6 +42,7 @@ MEMOS = (100_000, 100_000)
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces' places in sequences of at most 4,096 tokens."""
+    give_back(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), memos=MEMOS)
     return packing.pack(stored(pieces, "pieces"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -121,17 +122,37 @@ def ordered_buckets(df: DataFrame, key: Column) -> tuple[Column, int, list[int]]
     return bucket_of(key, bounds), parts, bounds
 
 
+def release() -> None:
+    """This process's freed memory goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def give_back(spark: SparkSession) -> None:
+    """The driver's freed memory goes back to the system, Python's and the JVM's: else what collected rows, compiled plans
+    and buffers of one step took counts beside what the next one takes."""
+    gc.collect()
+    release()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()  # buffers outside the heap are freed with their owners
+    with contextlib.suppress(Exception):  # only some JVMs have it
+        server = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # py4j can't see the class behind this interface
+        invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def lean(run):
     """``run`` (for mapInArrow) that gives its memory back to the system when a partition ends: Spark keeps workers for later
     stages, and what allocators hold back would count beside theirs."""
 
     def freed(batches):
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return freed
 

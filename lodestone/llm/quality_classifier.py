@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, lean, stored, table, whole_text
+from .common import Memo, give_back, lean, stored, table, whole_text
 
 BUCKETS, WIDTH = 1 << 16, 8
 GRAM_LENGTHS = (3, 4)
@@ -72,11 +72,11 @@ def train(docs: Docs, labels: list[int], epochs: int = EPOCHS, rate: float = RAT
     past_vectors, past_output = np.full(BUCKETS, 1e-8), 1e-8  # squared gradients so far
     # classes weigh alike in the loss: the rare one is not drowned out
     weight = np.minimum(len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1)), 10)
-    shares = [counts / (counts.sum() + SMOOTH) for _, counts in docs]
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)).tolist():
-            at, share, y = docs[k][0], shares[k], labels[k]
+            (at, counts), y = docs[k], labels[k]
+            share = counts / (counts.sum() + SMOOTH)
             step = rate * (1 - done / steps)
             hidden = share @ vectors[at]
             z = output @ hidden + bias
@@ -161,7 +161,9 @@ def _score(logits: np.ndarray, bias: float):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """A model from the labels that are not held out."""
-    return train(*training_rows(docs, labels.where(~held_out()), sample))
+    model = train(*training_rows(docs, labels.where(~held_out()), sample))
+    give_back(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

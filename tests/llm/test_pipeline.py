@@ -4,6 +4,7 @@ import os
 import re
 import subprocess
 import sys
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -142,3 +143,28 @@ def test_a_workers_memory_is_bounded(spark, tmp_path):
         taken.append([float(x) for x in said.stdout.split()])
     assert taken[0][0] < 140  # the encoder is 35 of them
     assert taken[1][1] < 60  # nothing is kept after a partition
+
+
+def test_the_drivers_memory_goes_back(spark, monkeypatch):
+    """What training took stood beside the later stages' plans: with a full heap over 1,500 MB together."""
+    held = lambda: sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+    kept = []
+
+    def rows(*_):
+        made = [np.ones(1000) for _ in range(40_000)]  # 320 MB in small pieces; some stay, so that the ends of the heap do
+        kept.extend(made[1999::2000])
+        return [(x, x) for x in made], [1] * len(made)
+
+    monkeypatch.setattr(quality_classifier, "training_rows", rows)
+    monkeypatch.setattr(quality_classifier, "train", lambda docs, labels: (np.zeros(len(docs) and quality_classifier.BUCKETS, np.float32), 0.0))
+    start = held()
+    quality_classifier.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert held() - start < 100
+    # training itself holds its input and the model, no second copy of the features
+    docs = [(np.arange(5000, dtype=np.int32) + k, np.ones(5000, np.int32)) for k in range(1000)]
+    monkeypatch.undo()
+    tracemalloc.start()
+    quality_classifier.train(docs, [k % 2 for k in range(1000)], epochs=1)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 25  # 40 more before
