@@ -9,9 +9,10 @@ fewer), whole texts, and of these, in that order, as many as have ``FEATURES`` d
 hashed where they lie, so the driver gets at most ``FEATURES`` bucket numbers and counts. Rows held out by the
 caller never enter.
 
-Scoring is linear in a document's words: a worker turns each new word, and each new pair of word ends that meet, once
-into the sum of its vectors' logits and their number, keeps that in a bounded memo, and adds them up. The model is
-a fixed-size array (``BUCKETS`` floats after folding the output layer in) that travels with the task.
+Scoring is linear in a document's features: workers cut about 256 KB of text at a time into words and n-grams with numpy,
+find all their buckets at once (CRCs are affine, so a short gram's is an exclusive-or of table entries) and add up
+the logits of each document. The model is a fixed-size array (``BUCKETS`` floats after folding the output layer in) that
+travels with the task.
 
 Defined results: a null or empty text has no words and gets the trained bias alone; rows with a null label,
 null id or an id without a document don't train; repeated labels train repeatedly; without any usable label
@@ -22,12 +23,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, give_back, lean, stored, table, whole_text
+from .common import give_back, lean, stored, table, whole_text
 
 BUCKETS, WIDTH = 1 << 16, 8
 GRAM_LENGTHS = (3, 4)
@@ -35,7 +37,6 @@ EPOCHS, RATE, SEED = 12, 0.2, 5
 SAMPLE, FEATURES = 3000, 12_000_000
 #: Features of no weight that every document has: a very short text stays near the bias.
 SMOOTH = 20
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
 def _bucket(gram: str) -> int:
@@ -54,9 +55,115 @@ def across(ends: str) -> list[int]:
     return [_bucket(ends[i:j]) for i in range(max(0, at - 2), at + 1) for j in range(at + 1, len(ends) + 1) if 2 <= j - i <= 4]
 
 
-def joints(words: list[str]) -> list[str]:
-    """The two ends that meet between each two words."""
-    return [f"{a[-2:]} {b[:2]}" for a, b in zip(words, words[1:])]
+#: A CRC is affine: what a byte with k bytes behind it adds to a message's bucket, and the bucket of n zero bytes.
+_LONG = 32
+_ADDS = np.array([[(zlib.crc32(bytes([b]) + bytes(k)) ^ zlib.crc32(bytes(k + 1))) % BUCKETS for b in range(256)] for k in range(_LONG)], np.uint16)
+_ZEROS = np.array([zlib.crc32(bytes(n)) % BUCKETS for n in range(_LONG + 1)], np.uint16)
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]").search
+#: Bytes of text whose features are made at once.
+PART = 1 << 18
+
+
+def _buckets(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Buckets of the spans of ``data``, many at a time."""
+    out = _ZEROS[np.minimum(lengths, _LONG)]
+    for n in np.flatnonzero(np.bincount(np.minimum(lengths, _LONG + 1), minlength=_LONG + 2)[: _LONG + 1]).tolist():
+        own = np.flatnonzero(lengths == n)
+        at = starts[own]
+        x = _ADDS[n - 1][data[at]]
+        for k in range(1, n):
+            x ^= _ADDS[n - 1 - k][data[at + k]]
+        out[own] ^= x
+    for k in np.flatnonzero(lengths > _LONG).tolist():
+        out[k] = zlib.crc32(data[starts[k] : starts[k] + lengths[k]]) % BUCKETS
+    return out
+
+
+def _char_starts(data: np.ndarray) -> np.ndarray:
+    """Offsets of the characters of UTF-8, and the end."""
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+
+def all_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of all texts' words and of what reaches over the spaces between these, and each one's text:
+    as ``features`` of each word and ``across`` of each two neighbours' ends give them."""
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    keep = ~_IS_SPACE[raw]
+    first = np.flatnonzero(keep & ~np.concatenate([[False], keep[:-1]]))
+    if not len(first):
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    text_of = np.searchsorted(ends, first, "right")
+    held = raw[keep]
+    n_bytes = np.diff(np.append((np.cumsum(keep) - 1)[first], len(held)))
+    word = np.repeat(np.arange(len(first)), n_bytes)
+    n_chars = np.bincount(word[(held & 0xC0) != 0x80], minlength=len(first))
+    places = np.arange(len(held))
+
+    # <word><word>...
+    data = np.empty(len(held) + 2 * len(first), np.uint8)
+    stops = np.cumsum(n_bytes + 2)
+    begins = stops - n_bytes - 2
+    data[begins], data[stops - 1] = ord("<"), ord(">")
+    data[places + 2 * word + 1] = held
+    at = _char_starts(data)
+    left = np.repeat(np.cumsum(n_chars + 2), n_chars + 2) - np.arange(len(at) - 1)  # characters of the word from here
+    text_of_char = np.repeat(text_of, n_chars + 2)
+    found, whose = [_buckets(data, begins, n_bytes + 2)], [text_of]
+    for n in GRAM_LENGTHS:
+        i = np.flatnonzero(left >= n)
+        found.append(_buckets(data, at[i], at[i + n] - at[i]))
+        whose.append(text_of_char[i])
+
+    # word word ...
+    data = np.full(len(held) + len(first), ord(" "), np.uint8)
+    data[places + word] = held
+    at = _char_starts(data)
+    meet = np.flatnonzero(text_of[1:] == text_of[:-1])
+    space = (np.cumsum(n_chars + 1) - 1)[meet]
+    for before, after in ((0, 1), (0, 2), (1, 0), (2, 0), (1, 1), (2, 1), (1, 2)):
+        own = (n_chars[meet] >= before) & (n_chars[meet + 1] >= after)
+        i = space[own] - before
+        found.append(_buckets(data, at[i], at[i + before + 1 + after] - at[i]))
+        whose.append(text_of[meet[own]])
+    return np.concatenate(found), np.concatenate(whose)
+
+
+def _in_parts(texts: Iterable[bytes]):
+    """(text's place, piece, features beside those of the piece): long texts are cut at spaces; what reaches over the cuts comes along."""
+    for k, text in enumerate(texts):
+        lo, last = 0, b""
+        while True:
+            cut = _SPACE(text, lo + PART) if len(text) - lo > PART else None
+            piece = text[lo : cut.start()] if cut else text[lo:]
+            more = []
+            if (lo or cut) and (words := piece.split(None, 1)):
+                if last:
+                    more = across(f"{last.decode()[-2:]} {words[0].decode()[:2]}")
+                last = piece.rsplit(None, 1)[-1]
+            yield k, piece, more
+            if not cut:
+                break
+            lo = cut.end()
+
+
+def features_of(texts: Iterable[bytes]):
+    """Arrays (features' buckets, places of their texts), for about ``PART`` bytes at a time, in the texts' order."""
+    places, pieces, more, held = [], [], ([], []), 0
+    for k, piece, own in _in_parts(texts):
+        if held + len(piece) > PART and pieces:
+            found, whose = all_features(pieces)
+            yield np.append(found, more[0]).astype(np.int64), np.append(np.array(places, np.int64)[whose], more[1]).astype(np.int64)
+            places, pieces, more, held = [], [], ([], []), 0
+        places.append(k)
+        pieces.append(piece)
+        more[0].extend(own)
+        more[1].extend([k] * len(own))
+        held += len(piece)
+    if pieces:
+        found, whose = all_features(pieces)
+        yield np.append(found, more[0]).astype(np.int64), np.append(np.array(places, np.int64)[whose], more[1]).astype(np.int64)
 
 
 Docs = list[tuple[np.ndarray, np.ndarray]]
@@ -96,25 +203,29 @@ def train(docs: Docs, labels: list[int], epochs: int = EPOCHS, rate: float = RAT
     return (vectors @ difference).astype(np.float32), float(bias[1] - bias[0])
 
 
-def hashed(text: str, words: Memo, ends: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending buckets of a text's features and how often each occurs."""
-    counts: dict[int, int] = {}
-    own = _WORDS(text)
-    for memo, keys in ((words, own), (ends, joints(own))):
-        for key in keys:
-            for f in memo[key]:
-                counts[f] = counts.get(f, 0) + 1
-    at = np.array(sorted(counts), np.int32)
-    return at, np.array([counts[f] for f in at.tolist()], np.int32)
+def hashed(texts: Iterable[bytes], n_texts: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Offsets of each text's part of the others: its features' ascending buckets and how often each occurs."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for found, whose in features_of(texts):
+        key, n = np.unique(whose * BUCKETS + found, return_counts=True)
+        if len(key) and len(keys[-1]) and keys[-1][-1] // BUCKETS == (k := key[0] // BUCKETS):  # a long text goes on
+            lo, hi = np.searchsorted(keys[-1], k * BUCKETS), np.searchsorted(key, (k + 1) * BUCKETS)
+            both, at = np.unique(np.append(keys[-1][lo:], key[:hi]), return_inverse=True)
+            n = np.append(np.bincount(at, np.append(counts[-1][lo:], n[:hi])).astype(np.int64), n[hi:])
+            key, keys[-1], counts[-1] = np.append(both, key[hi:]), keys[-1][:lo], counts[-1][:lo]
+        if len(key):
+            keys.append(key)
+            counts.append(n)
+    key = np.concatenate(keys)
+    return np.searchsorted(key, np.arange(n_texts + 1) * BUCKETS).tolist(), (key % BUCKETS).astype(np.int32), np.concatenate(counts).astype(np.int32)
 
 
 def _hash(batches):
     import pyarrow as pa
 
-    words, ends = Memo(features), Memo(across)
     for batch in batches:
-        got = [hashed(x.as_py(), words, ends) for x in batch.column("text")]
-        lists = [pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (0, 1)]
+        at, *lists = hashed((x.as_py().encode() for x in batch.column("text")), batch.num_rows)
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in lists]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *lists], names=["doc_id", "quality", "buckets", "counts"])
 
 
@@ -125,7 +236,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(2 * sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = rows.mapInArrow(_hash, "doc_id long, quality int, buckets array<int>, counts array<int>")
+    rows = rows.mapInArrow(lean(_hash), "doc_id long, quality int, buckets array<int>, counts array<int>")
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"), F.col("buckets"), F.col("counts")]
     rows = stored(rows, "labelled").orderBy(*order).limit(sample)  # one order over ``sample`` rows
     upto = F.sum(F.size("buckets")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -143,17 +254,14 @@ def _score(logits: np.ndarray, bias: float):
     def run(batches):
         import pyarrow as pa
 
-        def weigh(own: list[int]) -> complex:  # real: sum of logits, imaginary: number of features
-            return complex(float(logits[own].sum()), len(own))
-
-        words, ends = Memo(lambda w: weigh(features(w))), Memo(lambda e: weigh(across(e)))
+        weights = logits.astype(np.float64)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                own = _WORDS(text.as_py())
-                total = sum(map(ends.__getitem__, joints(own)), sum(map(words.__getitem__, own), 0j))
-                out.append(bias + total.real / (total.imag + SMOOTH))
-            score = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -60, 60)))
+            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for found, whose in features_of(x.as_py().encode() for x in batch.column("text")):
+                total += np.bincount(whose, weights[found], len(n))
+                n += np.bincount(whose, minlength=len(n))
+            out = bias + total / (n + SMOOTH)
+            score = 1 / (1 + np.exp(-np.clip(out, -60, 60)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return run
@@ -169,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id and score (0 to 1) of every whole text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(_score(*model), "doc_id long, score double")
+    return rows.mapInArrow(lean(_score(*model)), "doc_id long, score double")
 
 
 def _with_scores(logits: np.ndarray, bias: float, floor: float):

@@ -2,10 +2,13 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm import components, filters, fingerprints, quality_classifier, sharding, simhash, weak_rules
 from lodestone.llm.common import stored
@@ -530,3 +533,24 @@ def test_tiles_connect_what_is_near(spark):
         got = [tuple(r) for r in filters.near(nodes, most=most).collect()]
         assert all(want[a, b] for a, b in got)
         assert roots(got) == roots(zip(*np.nonzero(want)))
+
+
+def test_classifier_features_many_at_a_time(monkeypatch):
+    """Whole batches give what words and their ends give one by one, also where long texts are cut, and in less time."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcé漢😀 <> \t\n", k=rng.randrange(60))) for _ in range(300)] + ["", " ", "x" * 100, "漢" * 50 + " q"]
+    for part in (7, 200, 1 << 18):
+        monkeypatch.setattr(quality_classifier, "PART", part)
+        at, buckets, counts = quality_classifier.hashed((t.encode() for t in texts), len(texts))
+        for k, t in enumerate(texts):
+            words = re.findall(r"[^\x20\x09-\x0D]+", t)
+            own = [f for w in words for f in quality_classifier.features(w)]
+            own += [f for a, b in zip(words, words[1:]) for f in quality_classifier.across(f"{a[-2:]} {b[:2]}")]
+            assert [np.repeat(buckets[at[k] : at[k + 1]], counts[at[k] : at[k + 1]]).tolist()] == [sorted(own)]
+    new = [" ".join("".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(300)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": new})
+    began = time.process_time()
+    list(quality_classifier._score(np.ones(quality_classifier.BUCKETS, np.float32), 0.0)(iter([batch])))
+    took, began = time.process_time() - began, time.process_time()
+    assert [len(quality_classifier.features(w)) for t in new for w in t.split()]
+    assert took < 0.7 * (time.process_time() - began)
