@@ -19,6 +19,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # f
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _PLAIN = re.compile(r"[\n -~¡-ÿ]*").fullmatch
 _ENDS = frozenset(".,;:!?")
+_SIGNS = ".,;:!?#$%&*"  # behind a word they are one more
 _made: dict[tuple, object] = {}
 
 
@@ -51,6 +52,7 @@ class Encoder:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **suffix)
         self.table, self.kind = _visible_bytes(), kind
+        self.space = chr(self.table[ord(" ")])
         self.words = regex.compile(PATTERN if kind == "byte" else WORD_PATTERN).findall
         self.memo = Memo(self._after_space if kind == "byte" else self._piece, pieces)
         self.word = Memo(self._word, words)
@@ -59,7 +61,13 @@ class Encoder:
         if word.isascii() and word.isalnum():
             shown = word
         else:
-            shown = word.encode().decode("latin-1").translate(self.table)
+            shown = self._shown(word)
+        return self._ids(shown)
+
+    def _shown(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.table)
+
+    def _ids(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: str, before: str = "") -> bytes:
@@ -75,6 +83,11 @@ class Encoder:
         return b"".join(map(self.word.__getitem__, self.words(before + piece)))
 
     def _after_space(self, piece: str) -> bytes:
+        stem = piece.rstrip(_SIGNS)
+        if stem.isalpha() and _PLAIN(stem):  # most pieces: a word, with signs behind it or not; such words need no memo of their own
+            if len(stem) < len(piece):
+                return self.memo[stem] + self.word[piece[len(stem) :]]
+            return self._ids(self.space + (piece if piece.isascii() else self._shown(piece)))
         if not piece or piece[-1].isspace():
             raise _Odd
         if piece[0] == "\n":  # the text has no space here

@@ -1,15 +1,18 @@
 """Encoders, token store, packing and BPE in SQL against the libraries."""
 
 import hashlib
+import random
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from lodestone.llm import bpe_sql, packing, token_store
 from lodestone.llm.common import fresh_path, stored
-from lodestone.llm.tokens import encoder
+from lodestone.llm.tokens import Encoder, encoder
 
 from .conftest import ODD
 
@@ -240,3 +243,15 @@ def test_bpe_frames(spark, real):
     back = bpe_sql.decode(bpe_sql.encode(real.limit(5), path), path).collect()
     texts = {r.doc_id: r.text for r in real.limit(5).collect()}
     assert {r.doc_id: bytes(r.data).decode() for r in back} == texts
+
+
+def test_encoder_new_words_take_one_memo():
+    """A new word behind a space is made and kept once, alone or with a sign behind it."""
+    path = P.path("byte_bpe_50k.json")
+    own, whole = Encoder(path, "byte", 700), Tokenizer.from_file(path)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(2000)]
+    for text in (" ".join(["x", *words]), " ".join(["x", *(f"{w}," for w in words)]), " ".join(["é", *(f"{w}.\n{w}" for w in words[:50]), "<|endoftext|>", "a'b", "q" * 90 + "!"])):
+        assert array("I", own.encode(text)).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(own.memo) <= 701
+    assert len(own.word) < 300  # 2,000 more before
