@@ -27,6 +27,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -86,14 +88,11 @@ def read_ranks(path: str) -> list[bytes]:
 
 def _parts(keys: list, most: int):
     """Keys in runs of at most ``most`` characters or bytes, one at least."""
-    lo, held = 0, 0
-    for hi, k in enumerate(keys):
-        if hi > lo and held + len(k) > most:
-            yield keys[lo:hi]
-            lo, held = hi, 0
-        held += len(k)
-    if lo < len(keys):
-        yield keys[lo:]
+    ends, lo = list(accumulate(map(len, keys))), 0
+    while lo < len(keys):
+        hi = max(lo + 1, bisect_right(ends, (ends[lo - 1] if lo else 0) + most))
+        yield keys[lo:hi]
+        lo = hi
 
 
 def _windows(lo: int, hi: int, width: int) -> list[tuple[int, int]]:
@@ -136,30 +135,32 @@ class Codec:
         young, old = self.young[kind], self.old[kind]
         missing = wanted.difference(young)
         young.update((k, old[k]) for k in missing.intersection(old))
-        for part in _parts(sorted(missing.difference(old)), ROWS * weight):
+        new = sorted(missing.difference(old))
+        for part in _parts(new, ROWS * weight):
             young.update(make(part))
+        self.long = [k for k in new if len(k) > WINDOW * weight]
         return young
 
-    def _forget(self, kind: int, keys, longest: int) -> None:
+    def _forget(self, kind: int) -> None:
         """Long keys are rare and would fill the memo."""
-        for k in [k for k in keys if len(k) > longest]:
+        for k in self.long:
             self.young[kind].pop(k, None)
 
     def _contract(self, words: list[str]) -> dict[str, bytes]:
         raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
         short = self._fixpoint([x for x in raw.values() if len(x) <= WINDOW])
-        out = {w: short[x].astype("<u4").tobytes() for w, x in raw.items() if len(x) <= WINDOW}
+        out = {w: short[x] for w, x in raw.items() if len(x) <= WINDOW}
         return out | {w: self._joined(x).astype("<u4").tobytes() for w, x in raw.items() if len(x) > WINDOW}
 
-    def _fixpoint(self, raw: list[bytes]) -> dict[bytes, np.ndarray]:
-        """Ids of each byte string by the recursive queries."""
-        out: dict[bytes, np.ndarray] = {}
+    def _fixpoint(self, raw: list[bytes]) -> dict[bytes, bytes]:
+        """Ids (as ``encode`` gives them) of each byte string by the recursive queries."""
+        out: dict[bytes, bytes] = {}
         for query, shift, own in ((STEP, 20, [x for x in raw if len(x) <= WINDOW]), (LONG_STEP, 40, [x for x in raw if len(x) > WINDOW])):
             for part in _parts(own, ROWS):
                 self._run(query, shift, part, out)
         return out
 
-    def _run(self, query: str, shift: int, own: list[bytes], out: dict[bytes, np.ndarray]) -> None:
+    def _run(self, query: str, shift: int, own: list[bytes], out: dict[bytes, bytes]) -> None:
         n = np.array([len(x) for x in own], np.int64)
         ids = self.byte_id[np.frombuffer(b"".join(own), np.uint8)]
         w = np.repeat(np.arange(len(own), dtype=np.int64), n)
@@ -180,9 +181,9 @@ class Codec:
             at, ids, w = at[final][order], ids[final][order], w[final][order]
             open_ = last[w] == depth
             done_w, done_ids = w[~open_], ids[~open_]
-            cuts = [0, *(np.flatnonzero(done_w[1:] != done_w[:-1]) + 1).tolist(), len(done_w)] if len(done_w) else []
-            for lo, hi in zip(cuts, cuts[1:]):
-                out[own[done_w[lo]]] = done_ids[lo:hi]
+            begins = np.flatnonzero(np.append(True, done_w[1:] != done_w[:-1])) if len(done_w) else done_w
+            cuts, joined = [*(4 * begins).tolist(), 4 * len(done_w)], done_ids.astype("<u4").tobytes()
+            out.update((own[k], joined[lo:hi]) for k, lo, hi in zip(done_w[begins].tolist(), cuts, cuts[1:]))
             at, ids = at[open_], ids[open_]
 
     def _joined(self, raw: bytes) -> np.ndarray:
@@ -194,12 +195,12 @@ class Codec:
             known |= self._fixpoint(list(set(cut).difference(known)))
             out, apart, since = [], set(), 0  # ids so far; spans that don't meet the next one; where the last joint ends
             for k, (lo, _) in enumerate(spans):
-                ids = known[cut[k]]
+                ids = np.frombuffer(known[cut[k]], "<u4")
                 ends = lo + np.cumsum(self.size[ids])
                 starts = ends - self.size[ids]
                 upto = len(ids)
                 if k + 1 < len(spans):
-                    after = known[cut[k + 1]]
+                    after = np.frombuffer(known[cut[k + 1]], "<u4")
                     ends_after = spans[k + 1][0] + np.cumsum(self.size[after])
                     _, here, there = np.intersect1d(ends, ends_after, assume_unique=True, return_indices=True)
                     same = (ids[here] == after[there]) & (starts[here] >= since)
@@ -234,7 +235,7 @@ class Codec:
         wanted = set().union(*cut)
         known = self._known(0, wanted, self._contract, 1)
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        self._forget(0, wanted, WINDOW)
+        self._forget(0)
         return out
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
@@ -247,7 +248,7 @@ class Codec:
         wanted = set().union(*cut)
         known = self._known(1, wanted, self._assemble, 4)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        self._forget(1, wanted, 4 * WINDOW)
+        self._forget(1)
         return out
 
 

@@ -255,3 +255,18 @@ def test_encoder_new_words_take_one_memo():
         assert array("I", own.encode(text)).tolist() == whole.encode(text, add_special_tokens=False).ids
         assert len(own.memo) <= 701
     assert len(own.word) < 300  # 2,000 more before
+
+
+def test_bpe_sql_looks_for_long_keys_among_new_ones():
+    """Words that a worker knows are not gone through again for their lengths."""
+    codec = bpe_sql.Codec(P.path("byte_bpe_multi_50k.tiktoken"))
+    text = "one two " + "three" * 40
+    assert codec.decode(codec.encode([text, "one two"])) == [text.encode(), b"one two"]
+    codec.encode([text])
+    assert codec.long == ["three" * 40] or codec.long == [" " + "three" * 40]
+    assert not any(len(w) > bpe_sql.WINDOW for w in codec.young[0])
+    codec.encode(["one two"])
+    assert codec.long == []
+    for most in (1, 5, 100):  # parts have all keys in order, and one key or at most so many bytes
+        parts = list(bpe_sql._parts(["abc", "", "d" * 7, "ef", "g"], most))
+        assert sum(parts, []) == ["abc", "", "d" * 7, "ef", "g"] and all(len(p) == 1 or sum(map(len, p)) <= most for p in parts)
