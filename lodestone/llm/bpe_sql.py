@@ -3,8 +3,8 @@
 Encoding: the pattern's matches ("words") that a worker hasn't met go into a table of token positions (word, pos,
 id), one row for each byte. A recursive query joins neighbouring positions with the merge table (left, right -> id,
 which is also the rank) and contracts each word's leftmost pair of least rank until no word has a pair left. It
-runs ``DEPTH`` contractions at a time and goes on from there with the words not yet done, so what the
-recursion keeps is bounded, as are the rows that go in at once.
+runs ``DEPTH`` contractions at a time (fewer rows: as many more) and goes on from there with the words not yet done, so what
+the recursion keeps is bounded, as are the rows that go in at once.
 
 Words over ``WINDOW`` bytes are contracted in windows that overlap by half, each distinct one once. Two neighbours are joined at
 a token that both have at the same place. That is exact: if two neighbouring tokens stay apart when contracted by
@@ -14,10 +14,10 @@ token in common (rows of equal characters) they are contracted again in windows
 one; these wide windows use a second query, which contracts every occurrence of the least pair in one step where
 no merge of the new token has a lower rank - leftmost-first would do just that.
 
-Decoding: ids are cut before tokens that begin with a space or sign, distinct pieces join the vocabulary and an ordered
-aggregation puts their bytes together.
+Decoding: the ids of many documents in a row join the vocabulary, ``ROWS`` at a time, and an ordered aggregation puts their
+bytes together; documents are cut from these by their tokens' sizes.
 
-Words and pieces repeat, so each worker keeps bounded memos of both; documents are put together from them.
+Words repeat, so each worker keeps a bounded memo of their ids; documents are put together from it.
 Defined results: a null text is empty (no ids, no bytes); special tokens' strings are ordinary text; repeated rows,
 null ids: kept as they are; an empty table gives no rows; further columns are ignored.
 """
@@ -38,7 +38,7 @@ from .common import table, whole_text
 
 WINDOW, WIDER = 64, 12  # the product holds whole periods of two and three bytes
 DEPTH, ROWS, KEPT = 16, 1 << 18, 500_000
-PIECE = 4096  # ids of a piece for decoding
+PIECE = 4096  # ids of a group for decoding
 
 #: A position is word << 20 | offset, a pair left << 20 | right. Each position knows its right neighbour and what is
 #: there (-1: the word ends), so a contraction drops one row and changes two.
@@ -73,7 +73,7 @@ WITH RECURSIVE t(step, spot, w, id) AS (
     WHERE z.k IS NULL))
 SELECT step, spot, id FROM t
 """
-JOINED = "SELECT p, string_agg(v.shown, '' ORDER BY pos) AS shown FROM pieces JOIN vocab v USING (id) GROUP BY p"
+JOINED = "SELECT string_agg(v.shown, '' ORDER BY pos) AS shown FROM pieces JOIN vocab v USING (id) GROUP BY p ORDER BY p"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -115,36 +115,34 @@ class Codec:
         self.decimal = list(map(str, range(len(tokens))))
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.byte_id = np.array([ids[bytes([b])] for b in range(256)], np.int64)
-        # a text may be cut for decoding before any token; before spaces and signs it gives few distinct pieces
-        self.cuts = np.array([not (t[:1].isalpha() or t[:1] >= b"\x80") for t in tokens])
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, made = zip(*merges)
         self._table("merges", pair=[x << 20 | y for x, y in zip(left, right)], id=made, safe=[k not in unsafe for k in made])
         self._table("vocab", id=list(ids.values()), shown=[t.decode("latin-1") for t in ids])
-        self.young, self.old = [{}, {}], [{}, {}]  # words, pieces
+        self.young = [{}, {}]  # ids of words in the last two generations, the younger first
 
     def _table(self, name: str, **columns) -> None:
         rows = self.pa.table({k: self.pa.array(v) for k, v in columns.items()})  # noqa: F841  read by name
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM rows")
 
-    def _known(self, kind: int, wanted: set, make, weight: int) -> dict:
-        """A mapping that has all ``wanted`` keys; new ones are made in batches of about ``ROWS`` rows (``weight`` bytes
-        of a key each). It is good until the next call."""
-        if len(self.young[kind]) > KEPT:
-            self.old[kind], self.young[kind] = self.young[kind], {}
-        young, old = self.young[kind], self.old[kind]
+    def _known(self, wanted: set) -> dict[str, bytes]:
+        """A mapping that has all ``wanted`` words; new ones are made in batches of about ``ROWS`` rows. It is good until the
+        next call."""
+        if len(self.young[0]) > KEPT:
+            self.young = [{}, self.young[0]]
+        young, old = self.young
         missing = wanted.difference(young)
         young.update((k, old[k]) for k in missing.intersection(old))
         new = sorted(missing.difference(old))
-        for part in _parts(new, ROWS * weight):
-            young.update(make(part))
-        self.long = [k for k in new if len(k) > WINDOW * weight]
+        for part in _parts(new, ROWS):
+            young.update(self._contract(part))
+        self.long = [k for k in new if len(k) > WINDOW]
         return young
 
-    def _forget(self, kind: int) -> None:
-        """Long keys are rare and would fill the memo."""
+    def _forget(self) -> None:
+        """Long words are rare and would fill the memo."""
         for k in self.long:
-            self.young[kind].pop(k, None)
+            self.young[0].pop(k, None)
 
     def _contract(self, words: list[str]) -> dict[str, bytes]:
         raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
@@ -170,7 +168,7 @@ class Codec:
             ends = np.append(w[1:] != w[:-1], True)
             right = {"right_spot": np.where(ends, -1, np.append(at[1:], -1)), "right_id": np.where(ends, -1, np.append(ids[1:], -1))}
             self._table("seed", spot=at, w=w, id=ids, **right)
-            depth = int(min(DEPTH, max(1, DEPTH * ROWS // len(at))))
+            depth = int(max(1, DEPTH * ROWS // len(at)))
             got = self.db.execute(query.replace("$depth", str(depth))).fetchnumpy()
             step, at, ids = (np.asarray(got[k]) for k in ("step", "spot", "id"))
             w = at >> shift
@@ -223,33 +221,24 @@ class Codec:
                 k += 1
             spans = wider
 
-    def _assemble(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        n = np.array([len(x) // 4 for x in pieces], np.int64)
-        ids = np.frombuffer(b"".join(pieces), "<u4").astype(np.int64)
-        self._table("pieces", p=np.repeat(np.arange(len(pieces)), n), pos=np.arange(len(ids)), id=ids)
-        return {pieces[p]: shown.encode("latin-1") for p, shown in self.db.execute(JOINED).fetchall()}
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.words(t) for t in texts]
-        wanted = set().union(*cut)
-        known = self._known(0, wanted, self._contract, 1)
+        known = self._known(set().union(*cut))
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        self._forget(0)
+        self._forget()
         return out
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        cut = []
-        for raw in encoded:
-            may = self.cuts[np.frombuffer(raw, "<u4")]
-            may[::PIECE] = True  # what has no such token is cut as well: the bytes are the same
-            at = [*(np.flatnonzero(may) * 4).tolist(), len(raw)] if raw else []
-            cut.append([raw[lo:hi] for lo, hi in zip(at, at[1:])])
-        wanted = set().union(*cut)
-        known = self._known(1, wanted, self._assemble, 4)
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        self._forget(1)
-        return out
+        ids, shown = np.frombuffer(b"".join(encoded), "<u4"), []
+        for lo in range(0, len(ids), ROWS):
+            part = ids[lo : lo + ROWS].astype(np.int64)
+            at = np.arange(len(part), dtype=np.int64)
+            self._table("pieces", p=at // PIECE, pos=at, id=part)
+            shown += [x for (x,) in self.db.execute(JOINED).fetchall()]
+        data = "".join(shown).encode("latin-1")
+        ends = [0, *accumulate(int(self.size[np.frombuffer(x, "<u4")].sum()) for x in encoded)]
+        return [data[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
 
 _made: dict[str, Codec] = {}

@@ -270,3 +270,26 @@ def test_bpe_sql_looks_for_long_keys_among_new_ones():
     for most in (1, 5, 100):  # parts have all keys in order, and one key or at most so many bytes
         parts = list(bpe_sql._parts(["abc", "", "d" * 7, "ef", "g"], most))
         assert sum(parts, []) == ["abc", "", "d" * 7, "ef", "g"] and all(len(p) == 1 or sum(map(len, p)) <= most for p in parts)
+
+
+def test_bpe_sql_decodes_rows_of_ids_and_contracts_at_once(monkeypatch):
+    """Ids join the vocabulary in long rows, not word by word, and a small batch of words takes one run of the query."""
+    codec = bpe_sql.Codec(P.path("byte_bpe_multi_50k.tiktoken"))
+    made, table = [], codec._table
+    monkeypatch.setattr(codec, "_table", lambda name, **columns: (made.append((name, columns)), table(name, **columns)))
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("etaoinshrdlué", k=rng.randrange(1, 29)))
+    texts = ["", " ".join(word() for _ in range(3000)), "", "東京 " * 700, "\n", "x", " ".join(word() for _ in range(500)), ""]
+    ids = codec.encode(texts)
+    assert [name for name, _ in made] == ["seed"]
+    made.clear()
+    n = sum(map(len, ids)) // 4
+    assert codec.decode(ids) == [t.encode() for t in texts]
+    assert [(name, len(set(columns["p"].tolist()))) for name, columns in made] == [("pieces", -(-n // bpe_sql.PIECE))]
+    assert all(isinstance(k, str) for known in codec.young for k in known)  # pieces took as much memory as words
+    made.clear()
+    monkeypatch.setattr(bpe_sql, "ROWS", 1000)
+    monkeypatch.setattr(bpe_sql, "PIECE", 70)  # groups and batches end anywhere in a text
+    assert codec.decode(ids) == [t.encode() for t in texts]
+    assert [len(columns["id"]) for _, columns in made] == [1000] * (n // 1000) + [n % 1000] * (n % 1000 > 0)
+    assert codec.decode([]) == [] and codec.decode([b"", b""]) == [b"", b""]
